@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, fingerprints, media, mixing, neighbours, packing, simhash
+from . import _shared, fingerprints, media, mixing, neighbours, packing, quality, simhash, toxicity, webpages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -27,6 +27,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = webpages.main_text(pages, "page_id", "url", "html")
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
+def _classified(docs: DataFrame, model, score, threshold: float) -> DataFrame:
+    scored = score(docs.select("doc_id", "text"), "text", model)
+    held_out = F.coalesce(_shared.remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic", toxicity.learn_rows())
+    return _classified(docs, model, toxicity.score, 0.5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_shared.documents(spark, sf_dir), "doc_id", "text", tokenizer_path())
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,6 +77,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, "doc_id", "text", "quality", quality.learn_rows())
+    return _classified(docs, model, quality.score, 0.3)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_shared.documents(spark, sf_dir), "doc_id", "source", word_count())
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
@@ -78,7 +102,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
+    return {"op1_simhash": op1_simhash, "op3_main_text": op3_main_text, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
