@@ -26,6 +26,7 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEAD = set("head title meta link script style base noscript template body".split())
 CONTAINERS = set("article body center div main section td".split())
 NEVER = set("script style noscript template iframe object embed svg canvas audio video button select option textarea input label head title nav footer aside form menu dialog noembed noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
@@ -83,14 +84,26 @@ def _within(node: Node | None, tag: str) -> bool:
 def parse(source: str) -> Node:
     """A tree of any input: unknown tags are inline, ends without a start are ignored, missing ends are implied."""
     root = at = Node("html", "html")
+    body = None
     place = 0
+
+    def inside() -> Node:
+        """Where content goes: a body is implied."""
+        nonlocal body
+        if at is not root:
+            return at
+        if body is None:
+            body = _node("body", "", root)
+            root.kids.append(body)
+        return body
+
     while place < len(source):
         m = TOKEN.search(source, place)
+        text = source[place : m.start() if m else len(source)]
+        if text and (at is not root or not text.isspace()):
+            inside().kids.append(text)
         if m is None:
-            at.kids.append(source[place:])
             break
-        if m.start() > place:
-            at.kids.append(source[place : m.start()])
         place = m.end()
         if not m[2]:
             continue
@@ -102,10 +115,12 @@ def parse(source: str) -> Node:
             if node is not None and node.parent is not None:
                 at = node.parent
             continue
-        if tag in ("html", "body") and (tag == "html" or _within(at, "body")):
+        if tag == "html" or tag == "body" and body is not None:
             continue
         if tag == "body":
             at = root
+        elif tag not in HEAD:
+            at = inside()
         if tag in BLOCKS:
             node = at
             while node is not None and node.tag != "p" and node.tag not in BLOCKS:
@@ -121,6 +136,8 @@ def parse(source: str) -> Node:
                 node = at
         node = _node(tag, m[3], at)
         at.kids.append(node)
+        if tag == "body":
+            body = node
         if tag in VOID:
             continue
         if tag in RAW:
