@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, fingerprints, media, mixing, neighbours, packing, quality, simhash, toxicity, webpages
+from . import _shared, fingerprints, media, mixing, neighbours, packing, quality, repeats, simhash, toxicity, webpages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -33,6 +33,13 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_shared.documents(spark, sf_dir).select("doc_id", "text"), "text")
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    kept = F.octet_length("kept").cast("long")
+    return found.select("doc_id", (kept + lost).alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _classified(docs: DataFrame, model, score, threshold: float) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), "text", model)
     held_out = F.coalesce(_shared.remainder("doc_id", 5) == 0, F.lit(False))
@@ -102,7 +109,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_main_text": op3_main_text, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
+    return {"op1_simhash": op1_simhash, "op3_main_text": op3_main_text, "op4_repeats": op4_repeats, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
