@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,43 +17,61 @@ from ._shared import small_batches
 
 #: Splits text before byte-level merges (a fixed value of that vocabulary).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of this many distinct kinds are remembered between documents of a task.
-REMEMBERED = 400_000
 #: A block of this many tokens is packed at a time: it bounds a task's memory.
 BLOCK_TOKENS = 4_000_000
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: its own if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of a tokenizer file, the same as encoding whole texts; words are encoded once and remembered.
+    """Ids of a tokenizer file, the same as its own encoding of whole texts.
 
-    Only texts of ASCII, Latin-1 and Latin Extended characters go by words (there the classes of characters are settled);
-    those with others, or with the name of an added token, are encoded whole.
+    If the file is a byte-level BPE whose ids are in the order of its merges, texts of ASCII, Latin and general punctuation
+    (where the classes of characters are settled) go through the same merges by rank, several times faster. Those with
+    other characters or with the name of an added token, and all texts under other files, are encoded by the file itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PIECES).findall
-        self.plain = regex.compile(r"[\x00-ɏ‐-‧]*").fullmatch
+        self.plain = regex.compile(r"[\x00-\u024f\u2010-\u2027]*").fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if not (text.isascii() or self.plain(text)) or any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words = self.split(text)
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        self.ranked = self._by_rank(path)
+
+    def _by_rank(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        if model.get("type") != "BPE" or not byte_level or file.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        vocab, letters = model["vocab"], byte_letters()
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = [vocab.get(a + b, -1) for a, b in pairs]
+        if merged != list(range(256, 256 + len(merged))) or any(c not in vocab for c in letters):
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+        return tiktoken.Encoding("merges", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        if self.ranked and (text.isascii() or self.plain(text)) and not any(x in text for x in self.added):
+            return np.array(self.ranked(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 class OpenWindows:
@@ -116,22 +136,23 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int =
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer), np.array([end_id], "<u4")
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         sequence, block, held = TaskContext.get().partitionId() << 32, [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows, rests = [], []
             for i, ids in block:
-                whole = len(ids) // size * size
+                n = len(ids) // 4
+                whole = n // size * size
                 for at in range(0, whole, size):
-                    rows.append((i, at, size, ids[at : at + size].tobytes(), len(ids), sequence, 0))
+                    rows.append((i, at, size, ids[4 * at : 4 * (at + size)], n, sequence, 0))
                     sequence += 1
-                if whole < len(ids):
-                    rests.append((i, whole, ids))
-            places, n = best_fit([len(ids) - at for _, at, ids in rests], size)
-            for (i, at, ids), (window, offset) in zip(rests, places, strict=True):
-                rows.append((i, at, len(ids) - at, ids[at:].tobytes(), len(ids), sequence + window, offset))
+                if whole < n:
+                    rests.append((i, whole, n - whole, ids))
+            places, n = best_fit([length for _, _, length, _ in rests], size)
+            for (i, at, length, ids), (window, offset) in zip(rests, places, strict=True):
+                rows.append((i, at, length, ids[4 * at :], len(ids) // 4, sequence + window, offset))
             sequence += n
             block.clear()
             for at in range(0, len(rows), 4096):
@@ -142,8 +163,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int =
         for batch in small_batches(batches):
             id_type = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.append((i, np.concatenate([encode(text or ""), end])))
-                held += len(block[-1][1])
+                block.append((i, encode(text or "") + end))
+                held += len(block[-1][1]) // 4
                 if held >= block_tokens:
                     yield from packed()
                     held = 0
