@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
     context = spark.sparkContext
+    if found:
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+        return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
     if not context.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     found = f"file://{tempfile.mkdtemp(prefix='arborql-')}"

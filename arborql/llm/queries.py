@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, fingerprints, media, mixing, neighbours, packing, quality, repeats, simhash, toxicity, webpages
+from . import _shared, fingerprints, media, mixing, neighbours, ngrams, packing, quality, repeats, simhash, toxicity, webpages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -27,6 +27,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _shared.documents(spark, sf_dir)
+    fold = _shared.remainder("doc_id", 7)
+    model = ngrams.train(docs, "text", fold != 2)
+    found = ngrams.score(docs, "doc_id", "text", model)
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = webpages.main_text(pages, "page_id", "url", "html")
@@ -109,7 +118,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_main_text": op3_main_text, "op4_repeats": op4_repeats, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
+    return {"op1_simhash": op1_simhash, "op2_language_model": op2_language_model, "op3_main_text": op3_main_text, "op4_repeats": op4_repeats, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op6_packing": op6_packing, "op7_fingerprints": op7_fingerprints, "op9_mixing": op9_mixing, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
