@@ -55,3 +55,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remainder(column: str, by: int):
     """crc32 of the value as text, modulo ``by``: the fold of a document."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+#: Rows of keys (about 50 bytes each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_KEYS = 500_000
+KEY = ["__key_a", "__key_b"]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a 128-bit key of id and text in two columns: rows with one key are copies of each other."""
+    a, b = F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(docs[text_col], docs[id_col], F.lit(1))
+    return docs.withColumn(KEY[0], a).withColumn(KEY[1], b)
+
+
+def held(keys: DataFrame) -> DataFrame:
+    """``keys``, a stored table, to be broadcast if it's small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def one_row_each(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows``, keyed, with one row of each key; ``counted`` (keys, n) tells the keys with several, so other rows stay in place."""
+    several = stored(counted.where("n > 1").select(*KEY), "several")
+    if several.isEmpty():
+        return rows
+    few = held(several)
+    return rows.join(few, KEY, "left_anti").unionByName(rows.join(few, KEY, "left_semi").dropDuplicates(KEY))

@@ -261,12 +261,12 @@ def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, as_text: bool = False) -> DataFrame:
     """``df`` with kept (binary) and removed (array of byte ranges): the text's UTF-8 bytes without those that a string of
     ``length`` bytes covers which also starts anywhere else, in the same text or another; all judged on the input.
 
     Null texts are empty. A repeated row repeats all of its strings. Columns named kept and removed are replaced, others stay;
-    no rows give no rows. ``spread`` bounds how far triggers lie apart and is less than ``length``.
+    no rows give no rows. With ``as_text`` kept is a string without the characters that a range has cut. ``spread`` bounds how far triggers lie apart and is less than ``length``.
     """
     if not 0 < spread < length:
         raise ValueError("spread must be positive and less than length")
@@ -286,12 +286,15 @@ def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: i
                 ends = [0, *(b for _, b in runs)]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(text)], strict=True)))
                 removed.append([{"start": a, "end": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.binary()), pa.array(removed, span)], ["row", "kept", "removed"])
+            if as_text:
+                kept = [k.decode("utf-8", "ignore") for k in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, span)], ["row", "kept", "removed"])
 
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, kept binary, removed array<struct<start:long,end:long>>"
+    kind = "string" if as_text else "binary"
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, kept {kind}, removed array<struct<start:long,end:long>>"
     keys = lists.select("da", "db")
     if keys.count() > BROADCAST_KEYS:
         return docs.join(lists, ["da", "db"], "left").select("text", "ranges", "row").mapInArrow(cut, schema).select("row.*", "kept", "removed")
     hit = docs.join(F.broadcast(keys), ["da", "db"], "left_semi").join(lists.hint("shuffle_merge"), ["da", "db"]).select("text", "ranges", "row").mapInArrow(cut, schema)
-    whole = docs.join(F.broadcast(keys), ["da", "db"], "left_anti").select("row", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("removed"))
+    whole = docs.join(F.broadcast(keys), ["da", "db"], "left_anti").select("row", F.coalesce(F.col("text"), F.lit("")).cast(kind).alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("removed"))
     return hit.unionByName(whole).select("row.*", "kept", "removed")
