@@ -1,0 +1 @@
+"""Matchers to DataFrame plans."""
