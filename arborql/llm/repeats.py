@@ -20,6 +20,7 @@ strings are counted instead, which is the same answer from more rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +40,7 @@ CHUNK_PHRASES = 4096
 BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
+RANGES = "array<struct<first:int,last:int>>"
 
 
 @lru_cache(maxsize=4)
@@ -90,29 +92,38 @@ def parse(text: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.n
 
 
 def _phrases(df: DataFrame, length: int, spread: int) -> DataFrame:
-    """The parse: one row per phrase occurrence, with a digest of the phrase and where its trigger is."""
+    """The parse: a row for each different phrase of a text, with its digest, its first place and trigger, how often it
+    occurs there, and the starts of all of its places, those that touch in one range. So a run that repeats itself is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
         for batch in small_batches(batches):
-            keys, counts, parts, digests = [], [], [], []
+            rows = []
             for da, db, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
-                first, last, at, h = found = parse(text, length, spread)
-                if len(first):
-                    keys.append((da, db))
-                    counts.append(len(first))
-                    parts.append(found)
-                    view = memoryview(text)
-                    digests += [digest(view[a : b + length], t - a) for a, b, t in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)]
-            if not keys:
-                continue
-            of = np.repeat(np.array(keys, np.int64), counts, axis=0)
-            words = np.frombuffer(b"".join(d.to_bytes(16, "little") for d in digests), "<i8").reshape(-1, 2)
-            first, last, at, h = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            columns = [h.view(np.int64), words[:, 0], words[:, 1], of[:, 0], of[:, 1]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns), *(pa.array(c.astype(np.int32), pa.int32()) for c in (first, last, at))], ["h", "k1", "k2", "da", "db", "first", "last", "at"])
-
-    return df.mapInArrow(run, "h long, k1 long, k2 long, da long, db long, first int, last int, at int")
+                first, last, at, h = parse(text, length, spread)
+                view = memoryview(text)
+                own: dict[int, list] = {}
+                for a, b, t, g in zip(first.tolist(), last.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
+                    d = digest(view[a : b + length], t - a)
+                    row = own.get(d)
+                    if row is None:
+                        own[d] = [g, *struct.unpack("<qq", d.to_bytes(16, "little")), da, db, a, b, t, 1, [(a, b)]]
+                    else:
+                        row[8] += 1
+                        if row[9][-1][1] == a - 1:
+                            row[9][-1] = (row[9][-1][0], b)
+                        else:
+                            row[9].append((a, b))
+                rows += own.values()
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.int64()]
+                counts = [len(x) for x in columns[9]]
+                flat = np.array([r for x in columns[9] for r in x], np.int32).reshape(-1, 2)
+                ranges = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["first", "last"]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:9], types, strict=True)), ranges], ["h", "k1", "k2", "da", "db", "first", "last", "at", "n", "ranges"])
+
+    return df.mapInArrow(run, f"h long, k1 long, k2 long, da long, db long, first int, last int, at int, n long, ranges {RANGES}")
 
 
 def common_prefix(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -175,7 +186,7 @@ def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
-    """(da, db, first, last): starts of single phrases whose strings are in other phrases of their group."""
+    """(da, db, ranges): starts of single phrases whose strings are in other phrases of their group."""
     lists = stored(dictionary.groupBy("da", "db").agg(F.collect_list(F.struct("h", "k1", "k2", "first", "last", "at", "n", "large")).alias("phrases")), "edge-lists")
     joined = _with_texts(docs.select("da", "db", "text"), lists).select("da", "db", "text", "phrases")
 
@@ -199,10 +210,10 @@ def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
             offsets = [r[6] - r[5] for r in held]
             left = [r[8][:o][::-1] for r, o in zip(held, offsets, strict=True)]
             right = [r[8][o:] for r, o in zip(held, offsets, strict=True)]
-            rows = [(r[3], r[4], r[6] - high, r[6] - low) for r, found in zip(held, repeated_in_groups(groups, left, right, length), strict=True) if r[7] == 1 for low, high in found]
+            rows = [(r[3], r[4], [{"first": r[6] - high, "last": r[6] - low} for low, high in found]) for r, found in zip(held, repeated_in_groups(groups, left, right, length), strict=True) if r[7] == 1 and found]
             held.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["da", "db", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))], strict=True)], ["da", "db", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -215,7 +226,7 @@ def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
             yield from solved()
 
     grouped = texts.where("not large").drop("large").repartition("h").sortWithinPartitions("h", "k1", "k2")
-    small = grouped.mapInArrow(order, "da long, db long, first int, last int")
+    small = grouped.mapInArrow(order, f"da long, db long, ranges {RANGES}")
     large = dictionary.where("large")
     if large.isEmpty():
         return small
@@ -233,19 +244,20 @@ def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
     strings = texts.where("large").dropDuplicates(["h", "k1", "k2"]).select("da", "db", "first", "phrase").mapInArrow(single, "s1 long, s2 long, da long, db long, first int")
     strings = stored(strings, "strings")
     several = strings.groupBy("s1", "s2").agg(F.count("*").alias("c")).where("c > 1")
-    return small.unionByName(strings.join(several, ["s1", "s2"]).select("da", "db", "first", F.col("first").alias("last")))
+    return small.unionByName(strings.join(several, ["s1", "s2"]).select("da", "db", F.array(F.struct("first", F.col("first").alias("last"))).alias("ranges")))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES) -> DataFrame:
-    """(da, db, first, last): ranges of starts in ``docs`` (da, db, text) whose string of ``length`` bytes also starts elsewhere."""
+    """(da, db, ranges): starts in ``docs`` (da, db, text) whose string of ``length`` bytes also starts elsewhere."""
     occurrences = stored(_phrases(docs.select("da", "db", "text"), length, spread), "parse")
-    several = occurrences.groupBy("h").agg(F.count("*").alias("hn")).where("hn > 1").select("h")
+    # Stored, so that the joins stand alone in their stages and hot hashes can be split there.
+    several = stored(occurrences.groupBy("h").agg(F.sum("n").alias("hn")).where("hn > 1").select("h"), "several")
     open_ = stored(occurrences.join(several, "h", "left_semi"), "open")
     one = F.min(F.struct("da", "db", "first", "last", "at")).alias("one")
-    counted = stored(open_.groupBy("h", "k1", "k2").agg(F.count("*").alias("n"), one), "dictionary")
+    counted = stored(open_.groupBy("h", "k1", "k2").agg(F.sum("n").alias("n"), one), "dictionary")
     within = counted.where("n > 1").select("h", "k1", "k2")
-    inside = open_.join(within, ["h", "k1", "k2"], "left_semi").select("da", "db", "first", "last")
-    mixed = counted.groupBy("h").agg(F.count("*").alias("phrases")).where("phrases > 1").withColumn("large", F.col("phrases") > most_phrases)
+    inside = open_.join(within, ["h", "k1", "k2"], "left_semi").select("da", "db", "ranges")
+    mixed = stored(counted.groupBy("h").agg(F.count("*").alias("phrases")).where("phrases > 1").withColumn("large", F.col("phrases") > most_phrases), "groups")
     dictionary = stored(counted.join(mixed, "h").select("h", "k1", "k2", "n", "large", "one.*"), "mixed")
     return inside.unionByName(_edges(docs, dictionary, length))
 
@@ -275,7 +287,7 @@ def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: i
     row = F.to_json(F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(fields) if c != text_col])) if len(fields) > 1 else F.lit("")
     docs = df.select(F.xxhash64(text, row).alias("da"), F.xxhash64(row, text, F.lit(1)).alias("db"), text.alias("text"), F.struct(*[df[c] for c in fields]).alias("row"))
     starts = repeated_starts(docs, length, spread, most_phrases)
-    lists = stored(starts.groupBy("da", "db").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    lists = stored(starts.groupBy("da", "db").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges")), "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
