@@ -48,7 +48,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
             yield batch.slice(at, rows)
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides.
+ARROW_ROWS = 1000
+
+
+def small_arrow(spark: SparkSession) -> None:
+    """Bounds the memory of what goes to Python and back, unless the session bounds it more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_arrow(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -37,6 +37,7 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _shared.small_arrow(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = webpages.main_text(pages, "page_id", "url", "html")
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
