@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .tree import Syn, error, fitted, token
+from .tree import Syn, error, fitted, settled, token
 
 LEX = re.compile(
     r"(?P<space>\s+)|(?P<comment>/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<important>!\s*important\b)|(?P<color>\#[0-9a-fA-F]{3,8}\b)"
@@ -54,7 +54,7 @@ class _Css:
                 at = deeper
             at.kids.append(c)
             at.kids.sort(key=lambda k: (k.start, k.end))
-        return fitted(root) if root.kids else root
+        return settled(fitted(root)) if root.kids else root
 
     def ends(self) -> tuple[int, str]:
         """Where the current item ends: at a block, a semicolon or the end of its block."""
@@ -82,7 +82,7 @@ class _Css:
             self.i = end
             return [fitted(rule.add(self.block()))]
         self.i = end + (how == ";")
-        return [error(a, self.tokens[self.i - 1][3])]
+        return [error(a, max(b, self.tokens[self.i - 1][3]))]
 
     def statement(self) -> Syn:
         _, text, a, b, _ = self.tokens[self.i]
@@ -120,7 +120,7 @@ class _Css:
         node = Syn("declaration", a, b).add(Syn("variable_name" if kind == "variable" else "property_name", a, b))
         if self.text() != ":" or kind not in ("word", "variable"):
             self.i = end + (how == ";")
-            return error(a, self.tokens[self.i - 1][3])
+            return error(a, max(b, self.tokens[self.i - 1][3]))
         node.add(self.sign())
         if self.i >= end:
             node.add(error(node.kids[-1].end, node.kids[-1].end))
@@ -185,7 +185,10 @@ class _Css:
             elif spaced:
                 left = fitted(Syn("descendant_selector", 0, 0).add(left, self.compound(end, None)))
             else:
+                before = self.i
                 left = self.compound(end, left)
+                if self.i == before:  # what fits no selector
+                    left = fitted(Syn("ERROR", a, b).add(*([left] if left else []), self.value()))
         return left
 
     def compound(self, end: int, left: Syn | None) -> Syn:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .tree import Syn, error, fitted, token
+from .tree import Syn, error, fitted, settled, token
 
 LEX = re.compile(r"(?P<space>[ \t\r\n\ufeff]+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\")|(?P<number>-?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)|(?P<word>true|false|null)(?![\w])|(?P<sign>[{}\[\],:])|(?P<bad>[\w$]+|.)", re.S)
 PARTS = re.compile(r"\\(?:u[0-9a-fA-F]{4}|.)|[^\\]+", re.S)
@@ -90,7 +90,7 @@ def parse(source: str) -> Syn:
     close_pair()
     if root.kids:
         root.start, root.end = root.kids[0].start, max(root.kids[-1].end, root.kids[0].end)
-    return root
+    return settled(root)
 
 
 def _finish(container: Syn, pair: list[Syn]) -> None:

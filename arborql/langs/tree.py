@@ -42,6 +42,14 @@ def fitted(node: Syn) -> Syn:
     return node
 
 
+def settled(root: Syn) -> Syn:
+    """``root`` after every node was drawn around its children, which may have grown since they were put there."""
+    for node in reversed(list(root.walk())):
+        for k in node.kids:
+            node.start, node.end = min(node.start, k.start), max(node.end, k.end)
+    return root
+
+
 def error(start: int, end: int) -> Syn:
     return Syn("ERROR", start, end)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .tree import Syn, error, fitted, token
+from .tree import Syn, error, fitted, settled, token
 
 COMMENT = re.compile(r"(?:(?<=\s)|^)#[^\n]*", re.M)
 KEY = re.compile(r"(?:\"(?:\\.|[^\"\\\n])*\"|'(?:''|[^'\n])*'|[^\s#\-\[\]{},\"'|>&*!%@`][^\n]*?|-[^\s][^\n]*?)(?=\s*:(?:[ \t\n]|\Z))")
@@ -58,7 +58,7 @@ class _Yaml:
                 i += 1
             root.add(fitted(doc))
         self._place(root)
-        return fitted(root) if root.kids else root
+        return settled(fitted(root)) if root.kids else root
 
     def _place(self, root: Syn) -> None:
         """Comments go to the smallest node around them."""
