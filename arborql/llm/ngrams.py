@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,7 +25,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +34,69 @@ from .trie import Trie
 
 ORDER = 3
 #: K per order from 2 on.
-MASS = (12.0, 3.0)
+MASS = (3000.0, 15.0)
 TOKENS_PER_SHARD = 1_500_000
 WORDS_PER_SHARD = 2_000_000
 #: Tokens that a task counts or scores at a time.
-BLOCK = 1_500_000
-END = xxhash.xxh64_intdigest(b"")
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.lower().split()
+BLOCK = 1_000_000
+#: The hash of an end: that of no bytes.
+END = 0
+
+
+#: Bytes whose words are hashed at a time, and the bytes that part words.
+CHUNK = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse, modulo 2 ** 64, for i below n."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' words between ASCII white space, A-Z lower-cased, each text's end as END; tokens per text.
+
+    A word's hash is a polynomial of its bytes, taken from running sums, so no word becomes an object.
+    """
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    space = SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[0::2], edges[1::2]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        last = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK)))
+        first, stop = int(start[at]), int(end[last - 1])
+        size = stop - first
+        up, down = _powers(1 << max(21, size.bit_length()))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        s, e = start[at:last] - first, end[at:last] - first
+        out[at:last] = (sums[e] - sums[s]) * down[s]
+        at = last
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    words = np.diff(np.searchsorted(start, bounds), prepend=0)
+    if len(texts):
+        words[0] = int(np.searchsorted(start, bounds[0]))
+    sizes = words + 1
+    whole = np.full(int(sizes.sum()), END, np.uint64)
+    keep = np.ones(len(whole), bool)
+    keep[np.cumsum(sizes) - 1] = False
+    whole[keep] = out
+    return whole, sizes
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -106,17 +156,10 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers and counts of all tokens, the end of each text included, and the number of tokens of each text."""
-        local: dict[bytes, int] = {b"": 0}
-        place, sizes = [], []
-        for t in texts:
-            words = words_of(t)
-            sizes.append(len(words) + 1)
-            place.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words)))
-            place.append(np.zeros(1, np.int32))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
-        ids, counts = self.lookup(hashes)
-        at = np.concatenate(place) if place else np.zeros(0, np.int32)
-        return ids[at], counts[at], np.array(sizes, np.int64)
+        hashes, sizes = hashed(texts)
+        distinct, back = np.unique(hashes, return_inverse=True)
+        ids, counts = self.lookup(distinct)
+        return ids[back], counts[back], sizes
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -138,15 +181,11 @@ def _vocabulary(texts: DataFrame, folder: str) -> Vocabulary:
     """``texts`` (id, text) to a vocabulary of its words and ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 1, 2 * BLOCK):
-            found: Counter = Counter()
-            for t in block:
-                found.update(words_of(t))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
-            counts = np.fromiter(found.values(), np.int64, len(found))
+        for _, block in _blocks(batches, 1, BLOCK):
+            found, counts = np.unique(hashed(block)[0], return_counts=True)
+            hashes = found.view(np.int64)
             for at in range(0, len(hashes), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + (1 << 17)]), pa.array(counts[at : at + (1 << 17)])], ["h", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([END], np.uint64).view(np.int64)), pa.array([len(block)], pa.int64())], ["h", "c"])
 
     words = stored(texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -303,12 +342,12 @@ class Model:
             alpha, weight = np.zeros(len(ids)), np.ones(len(ids))
             for s, at in self._by_shard(np.where(above >= 0, of, -1)):
                 trie = load_trie(f"{self.folder}/trie-{s}")
-                key, inverse = np.unique(above[at] << 32 | np.where(ids[at] >= 0, ids[at], 0xFFFFFFFF), return_inverse=True)
-                up, word = key >> 32, key & 0xFFFFFFFF
-                found = trie.child(n - 2, np.where(word != 0xFFFFFFFF, up, -1), word)
-                node[at], shard[at] = found[inverse], s
-                alpha[at] = trie.p(n - 2, found)[inverse]
-                weight[at] = trie.weight(n - 3, up)[inverse]
+                at = at[np.argsort(above[at])]  # neighbours in the trie are looked up together
+                up = above[at]
+                node[at] = found = trie.child(n - 2, np.where(ids[at] >= 0, up, -1), ids[at])
+                shard[at] = s
+                alpha[at] = trie.p(n - 2, found)
+                weight[at] = trie.weight(n - 3, up)
             shard[node < 0] = -1
             p = alpha + weight * p
         return np.minimum(p, 1.0)

@@ -28,15 +28,16 @@ SELECT = _select_table()
 
 def select_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The place of the r-th one (from 0) of each 64-bit word."""
-    at = np.zeros(len(words), np.int64)
-    left, r = words.copy(), r.astype(np.int64)
+    left, r = words, r.astype(np.uint8)
+    at = np.zeros(len(words), np.uint8)
     for width in (32, 16, 8):
-        low = np.bitwise_count(left & np.uint64((1 << width) - 1)).astype(np.int64)
+        low = np.bitwise_count(left & np.uint64((1 << width) - 1))
         up = r >= low
-        r -= np.where(up, low, 0)
-        left = np.where(up, left >> np.uint64(width), left)
-        at += np.where(up, width, 0)
-    return at + SELECT[(left & np.uint64(255)).astype(np.int64), r]
+        r = r - low * up
+        shift = up * np.uint8(width)
+        left = left >> shift.astype(np.uint64)
+        at += shift
+    return (at + SELECT[(left & np.uint64(255)).astype(np.uint8), r]).astype(np.int64)
 
 
 class EliasFano:
@@ -173,7 +174,12 @@ class Trie:
         at = np.flatnonzero(nodes >= 0)
         if not len(at) or not held["words"].n:
             return out
-        contexts, back = np.unique(nodes[at], return_inverse=True)
+        above = nodes[at]
+        if (above[1:] >= above[:-1]).all():  # sorted already
+            first = np.concatenate([[True], above[1:] != above[:-1]])
+            contexts, back = above[first], np.cumsum(first) - 1
+        else:
+            contexts, back = np.unique(above, return_inverse=True)
         begin, end = held["starts"].access(contexts).astype(np.int64), held["starts"].access(contexts + 1).astype(np.int64)
         before = np.zeros(len(contexts), np.uint64)
         some = np.flatnonzero((begin > 0) & (begin < end))

@@ -70,6 +70,17 @@ def test_against_dictionaries(spark, monkeypatch, order, per_shard):
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score, abs=0.012 * order * n)
 
 
+def test_hashes_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK", 50)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "b", "ab", "ba", "Ab", "x" * 70, "é", "aa", "aaa"], k=rng.randint(0, 40))).replace(" ", rng.choice([" ", "\n\t "])).encode() for _ in range(50)] + [b"", b"  ", b"\x00", b"y" * 3_000_000]
+    hashes, sizes = ngrams.hashed(texts)
+    words = [w for t in texts for w in [*t.lower().split(), b""]]
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    assert ngrams.hashed([])[1].tolist() == []
+
+
 def test_a_trie_survives_its_file():
     roots = np.array([2, 5, 9])
     trie = Trie.build(roots, [(np.array([0, 0, 2]), np.array([1, 7, 0]), np.array([0.5, 0.25, 1.0]), np.array([0.5, 1.0, 0.1])), (np.array([1, 2, 2]), np.array([3, 3, 4]), np.array([0.1, 0.2, 0.3]), None)])
