@@ -215,16 +215,27 @@ def shard_of(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _counted(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and how often each occurs."""
+    """Distinct rows in order, and how often each occurs. Numbers are below 2 ** 31; a pair is sorted as one."""
     if not len(rows):
         return rows, np.zeros(0, np.int64)
-    key = rows[:, 0]
-    for i in range(1, rows.shape[1]):
-        if i > 1:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key.astype(np.int64) << 32 | rows[:, i]
-    found, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return rows[first], np.bincount(back, counts, len(found)).astype(np.int64)
+    heads: list[np.ndarray] = []  # what the upper half of a key stands for
+    key = rows[:, 0] << 32 | rows[:, 1]
+    for i in range(2, rows.shape[1]):
+        head, rank = np.unique(key, return_inverse=True)
+        heads.append(head)
+        key = rank << 32 | rows[:, i]
+    if counts is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key)
+        key, counts = key[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = np.diff(np.append(first, len(key))) if counts is None else np.add.reduceat(counts, first)
+    key, columns = key[first], []
+    for head in [*reversed(heads), None]:
+        columns.append(key & 0xFFFFFFFF)
+        key = key >> 32 if head is None else head[key >> 32]
+    return np.ascontiguousarray(np.column_stack([key, *reversed(columns)])), sums.astype(np.int64)
 
 
 def _pack(rows: np.ndarray, counts: np.ndarray) -> bytes:
@@ -365,6 +376,8 @@ class Model:
         return (s, int(node[0])) if node[0] >= 0 else (-1, -1)
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if self.shards < 1 << 15:
+            shard = shard.astype(np.int16)  # sorted by digits
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:

@@ -91,11 +91,25 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value that is at least ``x``; n if there is none."""
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value that is ``x``; n if it isn't there. The successor's high part is known from the search."""
+        place, end = self._search(x)
+        at = np.flatnonzero(place < end)
+        hit = self._low(place[at]) == x[at] & self.mask
+        out = np.full(len(x), self.n, np.int64)
+        out[at[hit]] = place[at[hit]]
+        return out
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successors, and the ends of the runs of values that share the high part of ``x``."""
         h = (x >> np.uint64(self.bits)).astype(np.int64)
         most = self.high.size * 64 - self.n - 1
         inside = h < most
         h = np.minimum(h, most - 1)
         low, high = self._zeros_to(h), self._zeros_to(h + 1)
+        end = np.where(inside, high, 0)
         want = x & self.mask
         active = np.flatnonzero(low < high)
         while len(active):
@@ -105,7 +119,7 @@ class EliasFano:
             low[active] = np.where(less, middle + 1, a)
             high[active] = np.where(less, b, middle)
             active = active[low[active] < high[active]]
-        return np.where(inside, low, self.n)
+        return np.where(inside, low, self.n), end
 
 
 def _set_bits(high: np.ndarray, place: np.ndarray) -> None:
@@ -162,10 +176,8 @@ class Trie:
         """Nodes of first words; -1 where there is none."""
         if not self.roots.n:
             return np.full(len(words), -1)
-        at = self.roots.successor(words.astype(np.uint64))
-        ok = at < self.roots.n
-        ok[ok] = self.roots.access(at[ok]).astype(np.int64) == words[ok]
-        return np.where(ok, at, -1)
+        at = self.roots.find(words.astype(np.uint64))
+        return np.where(at < self.roots.n, at, -1)
 
     def child(self, level: int, nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The node of ``words`` below ``nodes`` of the level above; -1 where there is none."""
@@ -186,9 +198,8 @@ class Trie:
         before[some] = held["words"].access(begin[some] - 1) + np.uint64(1)
         at, back = at[(keep := (begin < end)[back])], back[keep]
         want = words[at].astype(np.uint64) + before[back]
-        place = held["words"].successor(want)
-        ok = np.flatnonzero(place < end[back])
-        ok = ok[held["words"].access(place[ok]) == want[ok]]
+        place = held["words"].find(want)
+        ok = place < end[back]
         out[at[ok]] = place[ok]
         return out
 

@@ -22,6 +22,8 @@ def test_elias_fano(n, top):
         assert (e.access(i) == values[i]).all()
         x = np.concatenate([rng.integers(0, top + 5, 2000).astype(np.uint64), values[i]])
         assert (e.successor(x) == np.searchsorted(values, x)).all()
+        place = np.minimum(np.searchsorted(values, x), n - 1)
+        assert (e.find(x) == np.where(values[place] == x, place, n)).all()
 
 
 def slow_scores(texts, learned, order, mass):
