@@ -41,6 +41,7 @@ BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
 RANGES = "array<struct<first:int,last:int>>"
+RANGE = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
 @lru_cache(maxsize=4)
@@ -93,7 +94,8 @@ def parse(text: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.n
 
 def _phrases(df: DataFrame, length: int, spread: int) -> DataFrame:
     """The parse: a row for each different phrase of a text, with its digest, its first place and trigger, how often it
-    occurs there, and the starts of all of its places, those that touch in one range. So a run that repeats itself is one row."""
+    occurs there, and if that's more than once the starts of all of its places, those that touch in one range. So a run
+    that repeats itself is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
@@ -118,12 +120,10 @@ def _phrases(df: DataFrame, length: int, spread: int) -> DataFrame:
             if rows:
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.int64()]
-                counts = [len(x) for x in columns[9]]
-                flat = np.array([r for x in columns[9] for r in x], np.int32).reshape(-1, 2)
-                ranges = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["first", "last"]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:9], types, strict=True)), ranges], ["h", "k1", "k2", "da", "db", "first", "last", "at", "n", "ranges"])
+                several = [None if n == 1 else [{"first": a, "last": b} for a, b in x] for n, x in zip(columns[8], columns[9], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:9], types, strict=True)), pa.array(several, pa.list_(RANGE))], ["h", "k1", "k2", "da", "db", "first", "last", "at", "n", "several"])
 
-    return df.mapInArrow(run, f"h long, k1 long, k2 long, da long, db long, first int, last int, at int, n long, ranges {RANGES}")
+    return df.mapInArrow(run, f"h long, k1 long, k2 long, da long, db long, first int, last int, at int, n long, several {RANGES}")
 
 
 def common_prefix(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
             rows = [(r[3], r[4], [{"first": r[6] - high, "last": r[6] - low} for low, high in found]) for r, found in zip(held, repeated_in_groups(groups, left, right, length), strict=True) if r[7] == 1 and found]
             held.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))], strict=True)], ["da", "db", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.list_(RANGE)], strict=True)], ["da", "db", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -256,7 +256,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD,
     one = F.min(F.struct("da", "db", "first", "last", "at")).alias("one")
     counted = stored(open_.groupBy("h", "k1", "k2").agg(F.sum("n").alias("n"), one), "dictionary")
     within = counted.where("n > 1").select("h", "k1", "k2")
-    inside = open_.join(within, ["h", "k1", "k2"], "left_semi").select("da", "db", "ranges")
+    inside = open_.join(within, ["h", "k1", "k2"], "left_semi").select("da", "db", F.coalesce("several", F.array(F.struct("first", "last"))).alias("ranges"))
     mixed = stored(counted.groupBy("h").agg(F.count("*").alias("phrases")).where("phrases > 1").withColumn("large", F.col("phrases") > most_phrases), "groups")
     dictionary = stored(counted.join(mixed, "h").select("h", "k1", "k2", "n", "large", "one.*"), "mixed")
     return inside.unionByName(_edges(docs, dictionary, length))
@@ -287,7 +287,7 @@ def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: i
     row = F.to_json(F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(fields) if c != text_col])) if len(fields) > 1 else F.lit("")
     docs = df.select(F.xxhash64(text, row).alias("da"), F.xxhash64(row, text, F.lit(1)).alias("db"), text.alias("text"), F.struct(*[df[c] for c in fields]).alias("row"))
     starts = repeated_starts(docs, length, spread, most_phrases)
-    lists = stored(starts.groupBy("da", "db").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges")), "ranges")
+    lists = stored(starts.groupBy("da", "db").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
