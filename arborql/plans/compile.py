@@ -26,6 +26,10 @@ def can_find(m: Matcher) -> bool:
     return m.kind != "not" and any(map(can_find, m.parts))
 
 
+def _asks_kind(p: Predicate) -> bool:
+    return p.op == "kind_in" and p.var == "match" or any(map(_asks_kind, p.parts))
+
+
 class Compiled:
     """A rule whose patterns and queries are known to fit the language."""
 
@@ -265,11 +269,13 @@ class Matches:
         if not predicates:
             return df
         had = "b_match" in df.columns
-        df = self._filtered(df if had else self.with_match(df), predicates)
+        df = self._filtered(df if had else self.with_match(df, predicates), predicates)
         return df if had else df.drop("b_match")
 
-    def with_match(self, df: DataFrame) -> DataFrame:
-        """``df`` with $match: the whole span, and its node if the span is one."""
+    def with_match(self, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
+        """``df`` with $match: the whole span, and its node if the span is one; its kind only where a predicate asks for it."""
+        if not any(map(_asks_kind, predicates)):
+            return df.withColumn("b_match", binding(F.col("span_node"), F.lit(None), F.col("text"), F.col("sb"), F.col("eb")))
         kinds = self.here.select(F.col("file_id").alias("mf"), F.col("pre").alias("mp"), F.col("kind").alias("m_kind"))
         df = df.join(kinds, (F.col("file_id") == F.col("mf")) & (F.col("span_node") == F.col("mp")), "left")
         return df.withColumn("b_match", binding(F.col("span_node"), F.col("m_kind"), F.col("text"), F.col("sb"), F.col("eb"))).drop("mf", "mp", "m_kind")
@@ -309,7 +315,7 @@ class Matches:
         rule = self.c.rule
         df = self.find(rule.match)
         if "b_match" not in df.columns:
-            df = self.with_match(df)
+            df = self.with_match(df, rule.where)
         for r in rule.relations:
             df = self.related(df, r)
         if rule.where:
