@@ -81,17 +81,15 @@ def sheets(spark: SparkSession, d: str) -> DataFrame:
 # -- queries ---------------------------------------------------------------------------------------------------------
 
 
-def _check(corpus: Callable, rule: str, columns: dict[str, Column], spark: SparkSession, d: str) -> DataFrame:
+def _check(corpus: Callable, rule: str, columns: dict[str, str], spark: SparkSession, d: str) -> DataFrame:
     rows = found.check(corpus(spark, d), read_rules(rule, "query.lint"))
-    return rows.select(F.col("file_id").alias("id"), *[c.alias(n) for n, c in columns.items()])
+    return rows.select(F.col("file_id").alias("id"), *[F.expr(c).alias(n) for n, c in columns.items()])
 
 
-def captured(*names: str) -> dict[str, Column]:
-    return {n.lower(): F.col("bindings")[n] for n in names}
+def captured(*names: str) -> dict[str, str]:
+    return {n.lower(): f"bindings['{n}']" for n in names}
 
 
-C, E, N, O, P, G, S = "customer", "events", "nation", "orders", "part", "pages", "supplier"
-CASE = {"k": "'id'"}
 CUSTOMER = "SELECT CAST(c_custkey AS BIGINT) AS id{more} FROM customer WHERE {where}"
 SEGMENT = '"segment": "$S"'
 
@@ -119,7 +117,7 @@ def _counts(op: str, sign: str) -> tuple:
     group = {"count": "count(*)", "lines": "count(*)", "length": "sum(length(CAST(c_custkey AS VARCHAR))) + 2 * (count(*) - 1)"}[op]
     limit = {"count": 60, "lines": 60, "length": 300}[op]
     return (
-        _ids, f"rule r {{ in json pattern {{ [$$$L] }} where $L {op} {sign} {limit} }}", {"n": F.lit(1).cast("int")},
+        _ids, f"rule r {{ in json pattern {{ [$$$L] }} where $L {op} {sign} {limit} }}", {"n": "1"},
         f"SELECT CAST(c_nationkey AS BIGINT) AS id, 1 AS n FROM customer GROUP BY c_nationkey HAVING {group} {'=' if sign == '==' else sign} {limit}",
     )
 
@@ -131,9 +129,9 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 SIGNS = {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "==", "ne": "!="}
 
-#: Name: corpus, rule, columns beside id, SQL.
+#: Name: corpus, rule, expressions of the columns beside id, SQL.
 CHECKS: dict[str, tuple] = {
-    "json_pair_capture": (events, 'rule r { in json pattern { "k": $V } where $V > 50 message "k is $V" }', captured("V") | {"message": F.col("message")}, "SELECT CAST(event_id AS BIGINT) AS id, json_extract_string(props, '$.k') AS v, 'k is ' || json_extract_string(props, '$.k') AS message FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50"),
+    "json_pair_capture": (events, 'rule r { in json pattern { "k": $V } where $V > 50 message "k is $V" }', captured("V") | {"message": "message"}, "SELECT CAST(event_id AS BIGINT) AS id, json_extract_string(props, '$.k') AS v, 'k is ' || json_extract_string(props, '$.k') AS message FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50"),
     "json_key_value": (customers, 'rule r { in json pattern { "$K": $V } where $V kind number where $K not in [id, a] }', captured("K"), "SELECT CAST(c_custkey AS BIGINT) AS id, k FROM customer, (VALUES ('balance'), ('b')) v(k)"),
     "json_object_arity": (customers, 'rule r { in json pattern { {"id": $I, "segment": "$S", "balance": $_, "a": $_, "b": $B} } where $S length > 3 }', captured("I", "B"), _customer("true", "CAST(c_custkey AS VARCHAR) AS i, CAST(c_nationkey % 7 AS VARCHAR) AS b")),
     **{f"where_number_{n}": _numbers(s) for n, s in SIGNS.items() if n in ("gt", "ge", "lt", "le")},
@@ -166,36 +164,36 @@ CHECKS: dict[str, tuple] = {
     "rel_has_first": (nations, 'rule r { in json pattern { "customers": $L } has pattern { {"id": $I, "segment": "BUILDING", "balance": $_} } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(min(c_custkey) AS VARCHAR) AS i FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey"),
     "rel_not_has": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } not has pattern { "segment": "BUILDING" } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment <> 'BUILDING'"),
     "rel_directly_has": (nations, 'rule r { in json pattern { [$$$] } directly has pattern { {"id": $I, "segment": "BUILDING", "balance": $_} } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(min(c_custkey) AS VARCHAR) AS i FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey"),
-    "rel_not_directly_has": (nations, 'rule r { in json any { pattern { [$$$] } pattern { {"id": $_, "segment": $_, "balance": $_} } } not directly has pattern { "segment": "$S" } }', {"line": F.col("startLine")}, "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS id, 1 AS line FROM customer"),
-    "rel_precedes": (lists, "rule r { in yaml pattern { - BUILDING } precedes pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i < a.i"))),
-    "rel_not_precedes": (lists, "rule r { in yaml pattern { - BUILDING } not precedes pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i < a.i", True))),
-    "rel_follows": (lists, "rule r { in yaml pattern { - BUILDING } follows pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i > a.i"))),
-    "rel_not_follows": (lists, "rule r { in yaml pattern { - BUILDING } not follows pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i > a.i", True))),
-    "rel_directly_precedes": (lists, "rule r { in yaml pattern { - BUILDING } directly precedes pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i = a.i - 1"))),
-    "rel_not_directly_precedes": (lists, "rule r { in yaml pattern { - BUILDING } not directly precedes pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i = a.i - 1", True))),
-    "rel_directly_follows": (lists, "rule r { in yaml pattern { - BUILDING } directly follows pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i = a.i + 1"))),
-    "rel_not_directly_follows": (lists, "rule r { in yaml pattern { - BUILDING } not directly follows pattern { - MACHINERY } }", {"line": F.col("startLine")}, _list(_near("b.i = a.i + 1", True))),
-    "rel_nearest_capture": (lists, "rule r { in yaml pattern { - BUILDING } precedes pattern { - $P } }", {"line": F.col("startLine")} | captured("P"), f"WITH l AS {ORDERED} SELECT CAST(a.n AS BIGINT) AS id, CAST(a.i AS INT) AS line, b.s AS p FROM l a JOIN l b ON a.n = b.n AND b.i = a.i - 1 WHERE a.s = 'BUILDING'"),
-    "seq_pattern": (settings, "rule r { in yaml pattern {\nstatus: F\npriority: 1-URGENT\n} }", {"line": F.col("endLine")}, "SELECT CAST(o_orderkey AS BIGINT) AS id, 2 AS line FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
-    "seq_variadic": (lists, "rule r { in yaml pattern {\n- BUILDING\n- $$$M\n- MACHINERY\n} where $M count <= 2 }", {"line": F.col("startLine"), "last": F.col("endLine")}, f"WITH l AS {ORDERED} SELECT CAST(n AS BIGINT) AS id, CAST(i AS INT) AS line, CAST(j AS INT) AS last FROM (SELECT a.n, a.i, min(b.i) AS j FROM l a JOIN l b ON a.n = b.n AND b.i > a.i AND b.s = 'MACHINERY' WHERE a.s = 'BUILDING' GROUP BY a.n, a.i) WHERE j - i <= 3"),
-    "any_union": (customers, 'rule r { in json any { pattern { "segment": "BUILDING" } pattern { "segment": "MACHINERY" } pattern { "segment": "BUILDING" } } }', {"snippet": F.col("snippet")}, _customer("c_mktsegment IN ('BUILDING', 'MACHINERY')", "'\"segment\":\"' || c_mktsegment || '\"' AS snippet")),
+    "rel_not_directly_has": (nations, 'rule r { in json any { pattern { [$$$] } pattern { {"id": $_, "segment": $_, "balance": $_} } } not directly has pattern { "segment": "$S" } }', {"line": "startLine"}, "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS id, 1 AS line FROM customer"),
+    "rel_precedes": (lists, "rule r { in yaml pattern { - BUILDING } precedes pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i < a.i"))),
+    "rel_not_precedes": (lists, "rule r { in yaml pattern { - BUILDING } not precedes pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i < a.i", True))),
+    "rel_follows": (lists, "rule r { in yaml pattern { - BUILDING } follows pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i > a.i"))),
+    "rel_not_follows": (lists, "rule r { in yaml pattern { - BUILDING } not follows pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i > a.i", True))),
+    "rel_directly_precedes": (lists, "rule r { in yaml pattern { - BUILDING } directly precedes pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i = a.i - 1"))),
+    "rel_not_directly_precedes": (lists, "rule r { in yaml pattern { - BUILDING } not directly precedes pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i = a.i - 1", True))),
+    "rel_directly_follows": (lists, "rule r { in yaml pattern { - BUILDING } directly follows pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i = a.i + 1"))),
+    "rel_not_directly_follows": (lists, "rule r { in yaml pattern { - BUILDING } not directly follows pattern { - MACHINERY } }", {"line": "startLine"}, _list(_near("b.i = a.i + 1", True))),
+    "rel_nearest_capture": (lists, "rule r { in yaml pattern { - BUILDING } precedes pattern { - $P } }", {"line": "startLine"} | captured("P"), f"WITH l AS {ORDERED} SELECT CAST(a.n AS BIGINT) AS id, CAST(a.i AS INT) AS line, b.s AS p FROM l a JOIN l b ON a.n = b.n AND b.i = a.i - 1 WHERE a.s = 'BUILDING'"),
+    "seq_pattern": (settings, "rule r { in yaml pattern {\nstatus: F\npriority: 1-URGENT\n} }", {"line": "endLine"}, "SELECT CAST(o_orderkey AS BIGINT) AS id, 2 AS line FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
+    "seq_variadic": (lists, "rule r { in yaml pattern {\n- BUILDING\n- $$$M\n- MACHINERY\n} where $M count <= 2 }", {"line": "startLine", "last": "endLine"}, f"WITH l AS {ORDERED} SELECT CAST(n AS BIGINT) AS id, CAST(i AS INT) AS line, CAST(j AS INT) AS last FROM (SELECT a.n, a.i, min(b.i) AS j FROM l a JOIN l b ON a.n = b.n AND b.i > a.i AND b.s = 'MACHINERY' WHERE a.s = 'BUILDING' GROUP BY a.n, a.i) WHERE j - i <= 3"),
+    "any_union": (customers, 'rule r { in json any { pattern { "segment": "BUILDING" } pattern { "segment": "MACHINERY" } pattern { "segment": "BUILDING" } } }', {"snippet": "snippet"}, _customer("c_mktsegment IN ('BUILDING', 'MACHINERY')", "'\"segment\":\"' || c_mktsegment || '\"' AS snippet")),
     "all_intersect": (customers, 'rule r { in json all { pattern { {"id": $I, "segment": $_, "balance": $_, "a": $_, "b": $_} } pattern { {"id": $_, "segment": "BUILDING", "balance": $_, "a": $_, "b": $_} } } }', captured("I"), _customer("c_mktsegment = 'BUILDING'", "CAST(c_custkey AS VARCHAR) AS i")),
     "not_matcher": (customers, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_, "a": $_, "b": $_} } not pattern { {"id": $_, "segment": "BUILDING", "balance": $_, "a": $_, "b": $_} } }', captured("I"), _customer("c_mktsegment <> 'BUILDING'", "CAST(c_custkey AS VARCHAR) AS i")),
-    "branch_where": (customers, 'rule r { in json any { all { pattern { "segment": "$S" } where $S matches "^B" } all { pattern { "balance": $B } where $B > 9000 } } message "$S $B" }', {"message": F.col("message")}, "SELECT CAST(c_custkey AS BIGINT) AS id, c_mktsegment || ' $B' AS message FROM customer WHERE c_mktsegment LIKE 'B%' UNION ALL SELECT CAST(c_custkey AS BIGINT), '$S ' || json_extract_string(json_object('b', c_acctbal), '$.b') FROM customer WHERE c_acctbal > 9000"),
+    "branch_where": (customers, 'rule r { in json any { all { pattern { "segment": "$S" } where $S matches "^B" } all { pattern { "balance": $B } where $B > 9000 } } message "$S $B" }', {"message": "message"}, "SELECT CAST(c_custkey AS BIGINT) AS id, c_mktsegment || ' $B' AS message FROM customer WHERE c_mktsegment LIKE 'B%' UNION ALL SELECT CAST(c_custkey AS BIGINT), '$S ' || json_extract_string(json_object('b', c_acctbal), '$.b') FROM customer WHERE c_acctbal > 9000"),
     "let_matcher": (customers, 'let M = pattern { "segment": "BUILDING" }\nrule r { in json @M }', {}, _customer("c_mktsegment = 'BUILDING'")),
     "query_match": (customers, 'rule r { in json query """((pair key: (string (string_content) @k) value: (number) @v) @match (#eq? @k "balance") (#match? @v "^-"))""" }', captured("v"), _customer("c_acctbal < 0", "json_extract_string(json_object('b', c_acctbal), '$.b') AS v")),
-    "report_capture": (customers, f'rule r {{ in json pattern {{ {SEGMENT} }} where $S == "BUILDING" report $S }}', {"snippet": F.col("snippet"), "width": F.col("endByte") - F.col("startByte")}, _customer("c_mktsegment = 'BUILDING'", "'BUILDING' AS snippet, 8 AS width")),
+    "report_capture": (customers, f'rule r {{ in json pattern {{ {SEGMENT} }} where $S == "BUILDING" report $S }}', {"snippet": "snippet", "width": "endByte - startByte"}, _customer("c_mktsegment = 'BUILDING'", "'BUILDING' AS snippet, 8 AS width")),
     "html_links": (pages, 'rule r { in html pattern { <a href="$U"> } }', captured("U"), "SELECT page_id AS id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS u FROM pages"),
-    "html_title": (pages, "rule r { in html pattern { <article>$$$K</article> } has pattern { <h1> } message \"has a title\" }", {"message": F.col("message")}, "SELECT page_id AS id, 'has a title' AS message FROM pages WHERE html LIKE '%<article><h1>%</article>%'"),
+    "html_title": (pages, "rule r { in html pattern { <article>$$$K</article> } has pattern { <h1> } message \"has a title\" }", {"message": "message"}, "SELECT page_id AS id, 'has a title' AS message FROM pages WHERE html LIKE '%<article><h1>%</article>%'"),
     "html_script_raw": (pages, "rule r { in html pattern { <script>$S</script> } }", captured("S"), "SELECT page_id AS id, regexp_extract(html, '<script>([^\\n]*?)</script>', 1) AS s FROM pages WHERE html LIKE '%<script>%'"),
-    "html_inside_nav": (pages, "rule r { in html pattern { <a $$$> } inside pattern { <nav $$$> } }", {"snippet": F.col("snippet")}, "SELECT page_id AS id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a [^>]*>')) AS snippet FROM pages"),
-    "html_no_class": (pages, "rule r { in html pattern { <div $$$> } not pattern { <div $$$ id=$_ $$$> } }", {"snippet": F.col("snippet")}, "SELECT page_id AS id, unnest(regexp_extract_all(html, '<div [^>]*>')) AS snippet FROM pages"),
+    "html_inside_nav": (pages, "rule r { in html pattern { <a $$$> } inside pattern { <nav $$$> } }", {"snippet": "snippet"}, "SELECT page_id AS id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a [^>]*>')) AS snippet FROM pages"),
+    "html_no_class": (pages, "rule r { in html pattern { <div $$$> } not pattern { <div $$$ id=$_ $$$> } }", {"snippet": "snippet"}, "SELECT page_id AS id, unnest(regexp_extract_all(html, '<div [^>]*>')) AS snippet FROM pages"),
     "xml_attribute": (parts, 'rule r { in xml pattern { <part brand="$B" size="$S">$$$</part> } where $S > 25 }', captured("B", "S"), "SELECT CAST(p_partkey AS BIGINT) AS id, p_brand AS b, CAST(p_size AS VARCHAR) AS s FROM part WHERE p_size > 25"),
     "xml_text_length": (parts, "rule r { in xml pattern { <name>$N</name> } where $N length > 12 inside pattern { <part $$$A>$$$C</part> } }", captured("N"), "SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS n FROM part WHERE length(p_name) > 12"),
     "css_important": (sheets, "rule r { in css pattern { $P: $$$V !important } }", captured("P", "V"), "SELECT CAST(s_suppkey AS BIGINT) AS id, 'color' AS p, 'red' AS v FROM supplier WHERE s_acctbal < 0"),
     "css_id_selector": (sheets, 'rule r { in css query "(id_selector (id_name) @n) @match" where $n matches "^s[0-9]$" }', captured("n"), "SELECT CAST(s_suppkey AS BIGINT) AS id, 's' || CAST(s_suppkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey < 10"),
-    "suppress_lines": (settings, "rule urgent { in yaml pattern { priority: 1-URGENT } }\nrule closed { in yaml pattern { status: F } where $match lines == 1 inside pattern {\nstatus: $_\npriority: 1-URGENT\n} }", {"rule": F.col("rule"), "line": F.col("startLine")}, "SELECT CAST(o_orderkey AS BIGINT) AS id, 'urgent' AS rule, 2 AS line FROM orders WHERE o_orderpriority = '1-URGENT' AND NOT (o_totalprice > 200000 AND o_orderkey % 2 = 0) UNION ALL SELECT CAST(o_orderkey AS BIGINT), 'closed', 1 FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
-    "path_glob": (customers, 'rule r { in json pattern { "id": $I } paths "data/*i*/**" exclude "data/building/1*.json" }', {"file": F.col("file")}, "SELECT CAST(c_custkey AS BIGINT) AS id, f AS file FROM (SELECT c_custkey, lower(c_mktsegment) AS s, 'data/' || lower(c_mktsegment) || '/' || CAST(c_custkey AS VARCHAR) || '.json' AS f FROM customer) WHERE s LIKE '%i%' AND NOT (s = 'building' AND f LIKE 'data/building/1%')"),
+    "suppress_lines": (settings, "rule urgent { in yaml pattern { priority: 1-URGENT } }\nrule closed { in yaml pattern { status: F } where $match lines == 1 inside pattern {\nstatus: $_\npriority: 1-URGENT\n} }", {"rule": "rule", "line": "startLine"}, "SELECT CAST(o_orderkey AS BIGINT) AS id, 'urgent' AS rule, 2 AS line FROM orders WHERE o_orderpriority = '1-URGENT' AND NOT (o_totalprice > 200000 AND o_orderkey % 2 = 0) UNION ALL SELECT CAST(o_orderkey AS BIGINT), 'closed', 1 FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
+    "path_glob": (customers, 'rule r { in json pattern { "id": $I } paths "data/*i*/**" exclude "data/building/1*.json" }', {"file": "file"}, "SELECT CAST(c_custkey AS BIGINT) AS id, f AS file FROM (SELECT c_custkey, lower(c_mktsegment) AS s, 'data/' || lower(c_mktsegment) || '/' || CAST(c_custkey AS VARCHAR) || '.json' AS f FROM customer) WHERE s LIKE '%i%' AND NOT (s = 'building' AND f LIKE 'data/building/1%')"),
 }
 
 

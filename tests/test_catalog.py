@@ -22,3 +22,12 @@ def test_against_sql(spark, name):
     got, want = against_sql(spark, catalog.queries()[name], catalog.oracle_sql()[name], SF)
     spark.catalog.clearCache()
     assert got == want
+
+
+def test_entry_needs_no_session_to_be_read():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert out.stdout.strip().endswith("True"), out.stderr[-500:]
