@@ -35,16 +35,16 @@ from .trie import Trie
 ORDER = 3
 #: K per order from 2 on.
 MASS = (3000.0, 15.0)
-TOKENS_PER_SHARD = 1_500_000
+TOKENS_PER_SHARD = 1_000_000
 WORDS_PER_SHARD = 2_000_000
 #: Tokens that a task counts or scores at a time.
-BLOCK = 1_000_000
+BLOCK = 600_000
 #: The hash of an end: that of no bytes.
 END = 0
 
 
 #: Bytes whose words are hashed at a time, and the bytes that part words.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15
@@ -78,7 +78,7 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         last = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK)))
         first, stop = int(start[at]), int(end[last - 1])
         size = stop - first
-        up, down = _powers(1 << max(21, size.bit_length()))
+        up, down = _powers(1 << max(20, size.bit_length()))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
         s, e = start[at:last] - first, end[at:last] - first
