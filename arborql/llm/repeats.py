@@ -20,6 +20,7 @@ strings are counted instead, which is the same answer from more rows.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,9 @@ CHUNK_PHRASES = 4096
 BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
+#: Bytes that stand for a word, and what words are: as bytes.split() has them.
+CODE = 8
+WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
 RANGES = "array<struct<first:int,last:int>>"
 RANGE = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
@@ -273,12 +277,37 @@ def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, as_text: bool = False) -> DataFrame:
+def word_codes(docs: DataFrame) -> DataFrame:
+    """(da, db, text): ``docs`` with CODE bytes for each word, the XXH64 of its bytes, so that runs of words are strings of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_digest
+        for batch in small_batches(batches):
+            codes = [b"".join([digest(w, 42) for w in text.split()]) for text in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["da", "db", "text"])
+
+    return docs.select("da", "db", "text").mapInArrow(run, "da long, db long, text binary")
+
+
+def passages(text: bytes, ranges: list[dict], words: int) -> list[dict]:
+    """The bytes from the first word to the last one's end of runs of ``words`` words, from ranges of starts in their codes."""
+    if not ranges:
+        return []
+    spans, found = [m.span() for m in WORD.finditer(text)], []
+    for r in ranges:
+        first, last = -(-r["first"] // CODE), r["last"] // CODE
+        if first <= last:
+            found.append({"first": spans[first][0], "last": spans[last + words - 1][1]})
+    return found
+
+
+def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, as_text: bool = False, words: int = 0) -> DataFrame:
     """``df`` with kept (binary) and removed (array of byte ranges): the text's UTF-8 bytes without those that a string of
     ``length`` bytes covers which also starts anywhere else, in the same text or another; all judged on the input.
 
     Null texts are empty. A repeated row repeats all of its strings. Columns named kept and removed are replaced, others stay;
     no rows give no rows. With ``as_text`` kept is a string without the characters that a range has cut. ``spread`` bounds how far triggers lie apart and is less than ``length``.
+    With ``words`` (over 32) runs of so many words that also stand elsewhere, in whatever white space, are removed too.
     """
     if not 0 < spread < length:
         raise ValueError("spread must be positive and less than length")
@@ -286,27 +315,31 @@ def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: i
     text = df[text_col].cast("string")
     row = F.to_json(F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(fields) if c != text_col])) if len(fields) > 1 else F.lit("")
     docs = df.select(F.xxhash64(text, row).alias("da"), F.xxhash64(row, text, F.lit(1)).alias("db"), text.alias("text"), F.struct(*[df[c] for c in fields]).alias("row"))
-    starts = repeated_starts(docs, length, spread, most_phrases)
-    lists = stored(starts.groupBy("da", "db").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    starts = repeated_starts(docs, length, spread, most_phrases).withColumn("runs", F.array().cast(RANGES))
+    if words:
+        runs = repeated_starts(word_codes(docs), CODE * words, SPREAD, most_phrases).withColumnRenamed("ranges", "runs")
+        starts = starts.unionByName(runs.withColumn("ranges", F.array().cast(RANGES)))
+    lists = stored(starts.groupBy("da", "db").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "runs"))), "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             kept, removed = [], []
-            for text, ranges in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                runs = covered(ranges or [], length)
+            for text, ranges, word_runs in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                whole = [{"first": r["first"], "last": r["last"] + length} for r in ranges or []]
+                runs = covered(whole + passages(text, word_runs or [], words), 0)
                 ends = [0, *(b for _, b in runs)]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(text)], strict=True)))
                 removed.append([{"start": a, "end": b} for a, b in runs])
             if as_text:
                 kept = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, span)], ["row", "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, span)], ["row", "kept", "removed"])
 
     kind = "string" if as_text else "binary"
     schema = f"row {docs.schema['row'].dataType.simpleString()}, kept {kind}, removed array<struct<start:long,end:long>>"
     keys = lists.select("da", "db")
     if keys.count() > BROADCAST_KEYS:
-        return docs.join(lists, ["da", "db"], "left").select("text", "ranges", "row").mapInArrow(cut, schema).select("row.*", "kept", "removed")
-    hit = docs.join(F.broadcast(keys), ["da", "db"], "left_semi").join(lists.hint("shuffle_merge"), ["da", "db"]).select("text", "ranges", "row").mapInArrow(cut, schema)
+        return docs.join(lists, ["da", "db"], "left").select("text", "ranges", "runs", "row").mapInArrow(cut, schema).select("row.*", "kept", "removed")
+    hit = docs.join(F.broadcast(keys), ["da", "db"], "left_semi").join(lists.hint("shuffle_merge"), ["da", "db"]).select("text", "ranges", "runs", "row").mapInArrow(cut, schema)
     whole = docs.join(F.broadcast(keys), ["da", "db"], "left_anti").select("row", F.coalesce(F.col("text"), F.lit("")).cast(kind).alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("removed"))
     return hit.unionByName(whole).select("row.*", "kept", "removed")
