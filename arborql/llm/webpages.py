@@ -1,9 +1,9 @@
 """Main text of web pages by consensus: containers are scored on each page, hosts agree on their paths, pages are read by them.
 
 1. Every page is parsed once to a tree. Containers get a score: text of the blocks below them, less with each level between,
-   less what is in links. The best few vote for their generalised path, tags with classes without digits from the body down.
+   less what is in links. The best one votes for its generalised path, tags with classes without digits from the body down.
 2. Votes are summed per host and path in Spark (partial sums first, so a host with a third of all pages is no burden), and
-   each host keeps the few paths with the most votes.
+   each host keeps the paths with a share of the votes, but none that leads to a path with more.
 3. Every page is read again: its text is that of the nodes on the best of its host's paths that the page has, or else of its
    own best container. Boilerplate inside the container (menus, adverts, forms, comments, ...) is left out.
 """
@@ -38,8 +38,8 @@ BOILERPLATE = re.compile(
     r"comments?|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|recommendations|trending|popular|tags?|tagcloud|toc|metadata|byline-share)$",
     re.I,
 )
-VOTES = 3
-PATHS = 3
+#: The least share of its host's votes with which a path is kept, so at most 20 are.
+SHARE = 0.05
 #: So many hosts' paths (under 1 KB each) are broadcast at most; beyond it they are joined.
 BROADCAST_HOSTS = 20_000
 
@@ -227,8 +227,7 @@ def nodes_on(root: Node, path: str) -> list[Node]:
 
 
 def votes(source: str | None) -> list[tuple[str, float]]:
-    best = scores(parse(source or ""))[:VOTES]
-    return [(path_of(n), v / best[0][0]) for v, n in best]
+    return [(path_of(n), 1.0) for _, n in scores(parse(source or ""))[:1]]
 
 
 def read(source: str | None, paths: list[str]) -> tuple[str, str]:
@@ -260,8 +259,10 @@ def host_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
     cast = rows.mapInArrow(run, "host string, path string, votes double")
     summed = cast.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    shares = summed.withColumn("share", F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))).where(F.col("share") >= SHARE)
+    ranked = shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))), lambda x: x["path"]).alias("all"))
+    below = lambda x, i: F.exists(F.slice("all", F.lit(1), i), lambda y: F.startswith(y, F.concat(x, F.lit(">"))))
+    return ranked.select("host", F.filter("all", lambda x, i: ~below(x, i)).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
