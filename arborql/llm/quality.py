@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ._shared import remainder, small_batches, utf8
 from .labelled import logistic, sample
@@ -96,8 +95,8 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, per_class: int = PER_CLASS) -> Model:
-    texts, y = sample(docs, labels, id_col, text_col, label_col, learn, per_class)
-    share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
+    """Learns from rows for which ``learn`` holds alone: texts, labels and the share of good ones."""
+    texts, y, share = sample(docs, labels, id_col, text_col, label_col, learn, per_class)
     return fit(texts, y, min(max(share, 0.01), 0.99) if share is not None else None)
 
 

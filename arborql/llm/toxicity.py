@@ -143,7 +143,7 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 7) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, per_class: int = PER_CLASS) -> Model:
-    texts, y = sample(docs, labels, id_col, text_col, label_col, learn, per_class, most_chars=8_000)
+    texts, y, _ = sample(docs, labels, id_col, text_col, label_col, learn, per_class, most_chars=8_000)
     return fit([t.encode("utf-8", "surrogatepass") for t in texts], y)
 
 

@@ -53,6 +53,16 @@ def test_no_documents_and_no_labels(spark, folder, name):
     assert queries.queries()[name](spark, f"{folder}/none").count() == 0
 
 
+@pytest.mark.parametrize("name", ["op5_toxicity", "op8_quality"])
+def test_held_out_labels_change_nothing(spark, folder, tmp_path, name):
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels.select("doc_id", *[F.when(held, 1).otherwise(F.col(c)).alias(c) for c in ("quality", "toxic")]).write.parquet(f"{tmp_path}/labels.parquet")
+    before, after = (sorted(map(str, queries.queries()[name](spark, str(p)).collect())) for p in (folder, tmp_path))
+    assert before == after
+
+
 def test_labels_of_one_class_only():
     for y in (0, 1):
         m = quality.fit(["some text"] * 5, np.full(5, y))
