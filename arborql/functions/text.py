@@ -1,4 +1,4 @@
-"""Byte slices of text, places in it, and message templates."""
+"""Message templates, and conditions joined."""
 
 from __future__ import annotations
 
@@ -11,34 +11,10 @@ from pyspark.sql import functions as F
 PLACEHOLDER = re.compile(r"\${1,3}([A-Za-z_][A-Za-z0-9_]*)")
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text between two byte offsets."""
-    return F.substring(text.cast("binary"), start + 1, F.greatest(end - start, F.lit(0))).cast("string")
-
-
-def place(text: Column, row: Column, col: Column, offset: Column) -> tuple[Column, Column]:
-    """Row and byte column, from 0, of a byte offset into a text that begins at (row, col)."""
-    before = byte_slice(text, F.lit(0), offset)
-    lines = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    last = F.octet_length(F.substring_index(before, "\n", -1))
-    return (row + lines).cast("int"), F.when(lines == 0, col + last).otherwise(last).cast("int")
-
-
-def template(text: str, bound: dict[str, Column]) -> Column:
+def template(text: str, bound: dict[str, str]) -> str:
     """``text`` with $NAME and $$$NAME replaced by captured text; what isn't bound stays as it's written."""
-    parts: list[Column] = []
-    at = 0
-    for m in PLACEHOLDER.finditer(text):
-        parts.append(F.lit(text[at : m.start()]))
-        parts.append(F.coalesce(bound[m[1]], F.lit(m[0])) if m[1] in bound else F.lit(m[0]))
-        at = m.end()
-    parts.append(F.lit(text[at:]))
-    return F.concat(*parts)
+    return PLACEHOLDER.sub(lambda m: bound.get(m[1], m[0]), text)
 
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

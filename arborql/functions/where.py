@@ -1,63 +1,69 @@
-"""Conditions on captures as columns. Logic has two values: an unbound capture makes its condition false, ``not`` or not."""
+"""Conditions on captures. Logic has two values: an unbound capture makes its condition false, ``not`` or not."""
 
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+BLANK = " \t\n\r\f\x0b\x85\xa0"
+NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity)")
+SIGNS: dict[str, Callable] = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
 
-from ..rules.model import Predicate
-from . import regex
-from .text import all_of, any_of
 
-NUMBER = r"^[\t\n\x0B\f\r \x85\xA0]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[\t\n\x0B\f\r \x85\xA0]*\z"
-INFINITE = r"^\s*[+-]?(?i:inf|infinity)\s*\z"
-SIGNS: dict[str, Callable] = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
+class Bound(NamedTuple):
+    """What a metavariable stands for: a node, or (``variadic``) the text of ``count`` nodes, or text between two tokens."""
+
+    text: str
+    node: int | None = None
+    kind: str | None = None
+    start: int | None = None
+    end: int | None = None
+    variadic: bool = False
+    count: int = 1
+
+
+def number(text: str) -> float | None:
+    """A capture as a number, None if it's none."""
+    trimmed = text.strip(BLANK)
+    return float(trimmed) if NUMBER.fullmatch(trimmed) else None
+
+
+def line_count(text: str) -> int:
+    return text.count("\n") + 1 if text else 0
+
+
+VALUES: dict[str, Callable[[Bound], float | None]] = {
+    "number": lambda b: number(b.text),
+    "length": lambda b: len(b.text),
+    "lines": lambda b: line_count(b.text),
+    "count": lambda b: b.count if b.variadic else 1,
+}
 
 
-def number(text: Column) -> Column:
-    """A capture as a number, null if it's none."""
-    trimmed = F.btrim(text, F.lit(" \t\n\r\f\x0b\x85\xa0"))
-    infinite = F.when(F.startswith(trimmed, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(text.rlike(NUMBER), trimmed.try_cast("double")).when(text.rlike(INFINITE), infinite)
-
-
-def line_count(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-
-
-def condition(p: Predicate, bound: dict[str, Column], exists: Callable[[Predicate], Column]) -> Column:
-    """``bound``: captures as structs (node, kind, text, variadic, cnt). ``exists`` makes the column of an ``is``."""
-    if p.op in ("any", "all"):
-        parts = [condition(x, bound, exists) for x in p.parts]
-        return any_of(parts) if p.op == "any" else all_of(parts)
-    if p.var not in bound:
-        return F.lit(False)
-    b = bound[p.var]
-    if p.op == "is":
-        found = exists(p)
-        return b["text"].isNotNull() & (~found if p.negated else found)
-    return F.coalesce(_leaf(p, b, bound), F.lit(False)) & b["text"].isNotNull()
-
-
-def _leaf(p: Predicate, b: Column, bound: dict[str, Column]) -> Column:
-    text = b["text"]
-    if p.op == "matches":
-        found = text.rlike(regex.java(p.value))
-    elif p.op == "in":
-        found = text.isin(*p.value) if p.value else F.lit(False)
-    elif p.op == "kind_in":
-        found = F.coalesce(b["kind"].isin(*p.value), F.lit(False)) if p.value else F.lit(False)
-    elif p.op in ("eq_var", "ne_var"):
-        if p.value not in bound:
-            return F.lit(False)
-        return SIGNS[p.op[:2]](text, bound[p.value]["text"])
-    elif p.op in ("eq_text", "ne_text"):
-        return SIGNS[p.op[:2]](text, F.lit(p.value))
-    else:
-        what, sign = p.op.split("_")
-        value = {"number": number, "length": F.char_length, "lines": line_count, "count": lambda _: F.when(b["variadic"], b["cnt"]).otherwise(1)}[what](text)
-        return SIGNS[sign](value, F.lit(p.value))
-    return ~found if p.negated else found
+def holds(check, bound: dict[str, Bound], exists: Callable) -> bool:
+    """Whether a condition (plans.compile.Check) holds; ``exists(check, capture)`` answers an ``is``."""
+    if check.op == "any":
+        return any(holds(x, bound, exists) for x in check.parts)
+    if check.op == "all":
+        return all(holds(x, bound, exists) for x in check.parts)
+    b = bound.get(check.var)
+    if b is None:
+        return False
+    if check.op == "is":
+        return exists(check, b) != check.negated
+    if check.op == "matches":
+        return (check.search.search(b.text) is not None) != check.negated
+    if check.op == "in":
+        return (b.text in check.value) != check.negated
+    if check.op == "kind_in":
+        return (b.kind in check.value) != check.negated
+    if check.op in ("eq_var", "ne_var"):
+        other = bound.get(check.value)
+        return other is not None and SIGNS[check.op[:2]](b.text, other.text)
+    if check.op in ("eq_text", "ne_text"):
+        return SIGNS[check.op[:2]](b.text, check.value)
+    what, sign = check.op.split("_")
+    value = VALUES[what](b)
+    return value is not None and SIGNS[sign](value, check.value)

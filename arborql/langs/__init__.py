@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from . import css, json_, markup, yaml_
 from .tree import Syn
@@ -32,6 +33,19 @@ class Language:
     missing_ok: bool = False
     joint: str = "_"
 
+    @cached_property
+    def through(self) -> frozenset[str]:
+        """Kinds that matching looks through to their only named child."""
+        return THROUGH | self.transparent
+
+    @property
+    def blocks(self) -> frozenset[str]:
+        return BLOCKS
+
+    @property
+    def separators(self) -> frozenset[str]:
+        return SEPARATORS
+
 
 def _kinds(words: str) -> frozenset[str]:
     return frozenset(words.split())
@@ -72,9 +86,3 @@ def language(name: str) -> Language:
     """By name or alias, in any case; KeyError if there's none."""
     return BY_NAME[name.lower()]
 
-
-def through(kind: str, lang: Language) -> bool:
-    """Whether matching looks through nodes of this kind to their only named child."""
-    return kind in THROUGH or kind in lang.transparent
-
-

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterable, Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import glob
 from ..functions.text import any_of, template
-from ..plans.compile import Compiled, Matches, compile_rule
-from ..plans.match import capture, captures
+from ..langs import BY_NAME
+from ..langs.index import Tree
+from ..plans.compile import Compiled, compile_rule
+from ..plans.evaluate import File
 from ..rules.model import Rule, RuleError
-from ..sources.nodes import nodes as node_table
 from .project import Config
 
 SEVERITIES = ("error", "warning", "info")
 COLUMNS = ["rule", "severity", "message", "note", "url", "tags", "file", "startLine", "startColumn", "endLine", "endColumn", "snippet", "bindings", "fix", "file_id", "startByte", "endByte"]
 SCHEMA = "rule string, severity string, message string, note string, url string, tags array<string>, file string, startLine int, startColumn int, endLine int, endColumn int, snippet string, bindings map<string,string>, fix string, file_id long, startByte int, endByte int"
 
+OPENING, CLOSING = re.compile(r"^\s*(?:<!--|//|/\*|#)\s*", re.A), re.compile(r"\s*(?:-->|\*/)\s*\Z", re.A)
+DIRECTIVE = re.compile(r"lint:ignore(-next-line)?(?=\s|\Z)(.*)", re.A | re.S)
+
 
 def in_scope(rule: Rule):
     """Whether a path is one of the rule's; ``exclude`` wins."""
@@ -28,59 +33,87 @@ def in_scope(rule: Rule):
     return inside & ~any_of([path.rlike(glob(g)) for g in rule.exclude]) if rule.exclude else inside
 
 
-def wanted(compiled: list[Compiled], prefilter: bool = True):
-    """Files that some rule may match: by language, path, and a word that its pattern needs. It's pushed below the parse."""
-    rows = []
-    for c in compiled:
-        may = (F.col("lang") == c.lang.name) & in_scope(c.rule)
-        rows.append(may & F.contains("src", F.lit(c.anchor)) if prefilter and c.anchor else may)
-    return any_of(rows)
-
-
-def rule_findings(c: Compiled, nodes: DataFrame, severity: str | None = None) -> DataFrame:
-    """Findings of one rule over a node table that has ``path``; every span once."""
-    rule = c.rule
-    df = Matches(c, nodes).rows()
-    names = captures(df)
-    bound = {n: F.col(capture(n))["text"] for n in names}
-    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), bound[n].alias("value")) for n in sorted(names)]), lambda e: e["value"].isNotNull())
-    scope = nodes.where("pre = 0").where(in_scope(rule)).select(F.col("file_id").alias("pf"), F.col("path").alias("file"))
-    df = df.join(scope, F.col("file_id") == F.col("pf")).drop("pf")
-    return df.select(
-        F.lit(rule.id).alias("rule"), F.lit(severity or rule.severity).alias("severity"), template(rule.message, bound).alias("message"), F.lit(rule.note).alias("note"), F.lit(rule.url).alias("url"),
-        F.array(*map(F.lit, rule.tags)).cast("array<string>").alias("tags"), "file", (F.col("sr") + 1).alias("startLine"), (F.col("sc") + 1).alias("startColumn"), (F.col("er") + 1).alias("endLine"), (F.col("ec") + 1).alias("endColumn"),
-        F.col("text").alias("snippet"), F.map_from_entries(entries).alias("bindings"), (template(rule.fix, bound) if rule.fix is not None else F.lit(None).cast("string")).alias("fix"), "file_id", F.col("sb").alias("startByte"), F.col("eb").alias("endByte"),
-    )
-
-
-def directives(nodes: DataFrame) -> DataFrame:
-    """(file_id, line, ids): what comments suppress. No ids: every rule. ``lint:ignore`` is for the comment's own line."""
-    body = F.regexp_replace(F.regexp_replace("text", r"^\s*(?:<!--|//|/\*|#)\s*", ""), r"\s*(?:-->|\*/)\s*\z", "")
-    comments = nodes.where("comment").select("file_id", "sr", F.btrim(body).alias("body"))
-    word = F.regexp_extract("body", r"^(lint:ignore(?:-next-line)?)(?=\s|\z)", 1)
-    rest = F.expr("btrim(substring(body, length(word) + 1))")
-    ids = F.filter(F.transform(F.split("rest", ","), lambda x: F.split(F.btrim(x), r"\s+")[0]), lambda x: x != "")
-    found = comments.withColumn("word", word).where("word <> ''").withColumn("rest", rest)
-    return found.select("file_id", (F.col("sr") + 1 + F.when(F.col("word") == "lint:ignore-next-line", 1).otherwise(0)).alias("line"), ids.alias("ids"))
-
-
-def suppressed(findings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``findings`` without those that a comment suppresses on the line where they begin."""
-    d = directives(nodes).select(F.col("file_id").alias("df"), F.col("line").alias("dl"), "ids")
-    on = (F.col("file_id") == F.col("df")) & (F.col("startLine") == F.col("dl")) & ((F.size("ids") == 0) | F.array_contains("ids", F.col("rule")))
-    return findings.join(d, on, "left_anti")
-
-
-def parsed(files: DataFrame, compiled: list[Compiled] | None = None, prefilter: bool = True) -> DataFrame:
-    """The node table of the files that matter, dealt by file and kept, so that joins inside files need no exchange.
-
-    It's held in memory and on disk and can be rebuilt from the files; call ``unpersist`` on it when done.
+def may_match(c: Compiled, prefilter: bool = True) -> Column:
+    may = (F.col("lang") == c.lang.name) & in_scope(c.rule)
+    return may & F.contains("src", F.lit(c.anchor)) if prefilter and c.anchor else may
+
+
+def suppressions(tree: Tree) -> dict[int, list[list[str]]]:
+    """By line, what comments suppress there: lists of rule ids, an empty one for every rule. ``lint:ignore`` is for the comment's own line."""
+    found: dict[int, list[list[str]]] = {}
+    for kind in tree.lang.comments:
+        for i in tree.by_kind.get(kind, ()):
+            m = DIRECTIVE.match(CLOSING.sub("", OPENING.sub("", tree.text(i), 1), 1).strip(" "))
+            if m:
+                ids = [words[0] for x in m[2].split(",") if (words := x.split())]
+                found.setdefault(tree.place(tree.start(i))[0] + 1 + bool(m[1]), []).append(ids)
+    return found
+
+
+def file_findings(tree: Tree, rules: Iterable[tuple[int, Compiled]], keep_suppressed: bool = False) -> Iterator[tuple]:
+    """Rows of FOUND without the file's own columns, for the numbered rules."""
+    file, silent = File(tree), None
+    for number, c in rules:
+        if c.lang.name != tree.lang.name:
+            continue
+        for m in file.run(c):
+            (sr, sc), (er, ec) = tree.place(m.start), tree.place(m.end)
+            if not keep_suppressed:
+                silent = suppressions(tree) if silent is None else silent
+                if any(not ids or c.rule.id in ids for ids in silent.get(sr + 1, ())):
+                    continue
+            bound = {n: b.text for n, b in sorted(m.bound.items())}
+            fix = template(c.rule.fix, bound) if c.rule.fix is not None else None
+            yield number, sr + 1, sc + 1, er + 1, ec + 1, tree.slice(m.start, m.end), template(c.rule.message, bound), list(bound.items()), fix, m.start, m.end
+
+
+FOUND = "file_id long, file string, number int, startLine int, startColumn int, endLine int, endColumn int, snippet string, message string, bindings map<string,string>, fix string, startByte int, endByte int"
+_FOUND = [pa.int64(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+#: Rows and source characters that a task hands on or takes at a time.
+BATCH_ROWS, BATCH_CHARS = 10_000, 4 << 20
+
+
+def matched(files: DataFrame, compiled: list[Compiled], keep_suppressed: bool = False) -> DataFrame:
+    """Rows of FOUND for ``files`` (file_id, path, lang, src, todo: numbers of the rules to run).
+
+    One narrow stage: the task that reads a file parses it once, runs all of its rules on the tree and hands on findings
+    alone, so neither sources nor trees are shuffled or kept. Null sources are empty; files of languages without a parser
+    give no rows; files with syntax errors are searched with their error nodes.
     """
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    rows = files if compiled is None else files.where(wanted(compiled, prefilter))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return node_table(rows).repartition(n, "file_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+
+        for found in batches:
+            for at in range(found.num_rows):
+                file_id, path, name, source, todo = (c[at].as_py() for c in found.columns)
+                lang = BY_NAME.get((name or "").lower())
+                if lang is None or lang.parse is None or not todo:
+                    continue
+                source = source or ""
+                tree = Tree(lang.parse(source), source, lang)
+                for row in file_findings(tree, [(n, compiled[n]) for n in todo], keep_suppressed):
+                    rows.append((file_id, path, *row))
+                    held += len(row[5])
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                        yield batch()
+                        held = 0
+        if rows:
+            yield batch()
+
+    return files.select("file_id", "path", "lang", "src", "todo").mapInArrow(run, FOUND)
+
+
+def to_do(compiled: list[Compiled], prefilter: bool = True) -> Column:
+    """The numbers of the rules that may match a file: by language, path, and a word that their pattern needs."""
+    rows = [F.when(may_match(c, prefilter), F.lit(n)) for n, c in enumerate(compiled)]
+    return F.filter(F.array(*rows), lambda n: n.isNotNull()) if rows else F.array().cast("array<int>")
 
 
 def selected(rules: list[Rule], config: Config | None = None, languages: list[str] | None = None, tags: list[str] | None = None) -> list[Compiled]:
@@ -99,15 +132,26 @@ def selected(rules: list[Rule], config: Config | None = None, languages: list[st
     return found
 
 
-def check(files: DataFrame, rules: list[Rule], config: Config | None = None, languages: list[str] | None = None, tags: list[str] | None = None, prefilter: bool = True, keep_suppressed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
-    """All findings of ``rules`` in ``files`` (file_id, path, lang, src), without order; ``nodes``: a table from ``parsed``."""
+def check(files: DataFrame, rules: list[Rule], config: Config | None = None, languages: list[str] | None = None, tags: list[str] | None = None, prefilter: bool = True, keep_suppressed: bool = False) -> DataFrame:
+    """All findings of ``rules`` in ``files`` (file_id, path, lang, src), without order."""
     config = config or Config()
     compiled = selected(rules, config, languages, tags)
     if not compiled:
         return files.sparkSession.createDataFrame([], SCHEMA)
-    table = parsed(files, compiled, prefilter) if nodes is None else nodes
-    found = reduce(DataFrame.unionByName, [rule_findings(c, table, config.severity(c.rule.id)) for c in compiled])
-    return found if keep_suppressed else suppressed(found, table)
+    # The filter stands below the parse, where it reaches the scan; files without work never leave the JVM.
+    may = files.where(any_of([may_match(c, prefilter) for c in compiled]))
+    found = matched(may.withColumn("todo", to_do(compiled, prefilter)), compiled, keep_suppressed)
+    return found.withColumn("about", F.get(about(compiled, config), F.col("number"))).select("about.*", *COLUMNS[6:], "message").select(*COLUMNS)
+
+
+def about(compiled: list[Compiled], config: Config) -> Column:
+    """What findings say of their rule, as a constant array by number."""
+
+    def one(c: Compiled) -> Column:
+        rule, text = c.rule, lambda x: F.lit(x).cast("string")
+        return F.struct(F.lit(rule.id).alias("rule"), text(config.severity(rule.id) or rule.severity).alias("severity"), text(rule.note).alias("note"), text(rule.url).alias("url"), F.array(*map(F.lit, rule.tags)).cast("array<string>").alias("tags"))
+
+    return F.array(*map(one, compiled))
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.compile import compile_rule
+from ..plans.compile import Compiled, compile_rule
 from ..rules.model import Rule
-from .findings import parsed, rule_findings
+from .findings import matched
 from .fixes import fixed_sources
 
 RESULT = "rule string, idx int, expect string, lang string, n long, passed boolean, why string"
@@ -21,25 +19,18 @@ def run_tests(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     A case runs in each language of its rule and the one with the most findings counts, the first of equals. Paths,
     settings and suppressing comments play no part. A fix is held against the snippet with all of that language's fixes.
     """
-    rows, found, ids = [], [], []
+    rows: list[tuple] = []
+    every: list[Compiled] = []
     for at, rule in enumerate(rules):
         compiled = compile_rule(rule)
         for idx, case in enumerate(rule.cases):
             for order, c in enumerate(compiled):
-                rows.append((len(rows), f"{at}", c.lang.name, case.code, at, rule.id, idx, case.expect, case.count, case.fixed, order))
-        ids.append((at, compiled))
+                rows.append((len(rows), f"{at}", c.lang.name, case.code, [len(every) + order], at, rule.id, idx, case.expect, case.count, case.fixed, order))
+        every += compiled
     if not rows:
         return spark.createDataFrame([], RESULT)
-    cases = spark.createDataFrame(rows, "file_id long, path string, lang string, src string, at int, rule string, idx int, expect string, count int, fixed string, lang_order int").cache()
-    nodes = parsed(cases.select("file_id", "path", "lang", "src"))
-    for at, compiled in ids:
-        mine = cases.where(F.col("at") == at).select("file_id")
-        for c in compiled:
-            scoped = _everywhere(c.rule)
-            c.rule = scoped
-            own = rule_findings(c, nodes.join(mine, "file_id", "left_semi"))
-            found.append(own)
-    findings = reduce(DataFrame.unionByName, found)
+    cases = spark.createDataFrame(rows, "file_id long, path string, lang string, src string, todo array<int>, at int, rule string, idx int, expect string, count int, fixed string, lang_order int")
+    findings = matched(cases, every, keep_suppressed=True).withColumn("rule", F.col("number").cast("string"))
     counts = findings.groupBy("file_id").agg(F.count("*").alias("n"))
     fixed = fixed_sources(cases, findings).select("file_id", "fixed_src")
     scored = cases.join(counts, "file_id", "left").join(fixed, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -51,8 +42,3 @@ def run_tests(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     why = F.when(~counted, F.concat(F.lit("found "), F.col("n"))).when(~right_fix, F.concat(F.lit("fixed to: "), trim(F.col("fixed_src"))))
     return scored.select("rule", "idx", "expect", "lang", "n", (counted & right_fix).alias("passed"), why.alias("why")).orderBy("rule", "idx")
 
-
-def _everywhere(rule: Rule) -> Rule:
-    from dataclasses import replace
-
-    return replace(rule, paths=[], exclude=[])

@@ -1,33 +1,64 @@
-"""A rule in a language to the plan of its matches: matchers, relations, conditions, report."""
+"""A rule in a language, ready to run in any task: patterns, queries and regular expressions are compiled and checked once."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import cached_property
+from re import Pattern as Regex
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions import where as conditions
-from ..functions.regex import java
-from ..functions.text import all_of
-from ..langs import LANGUAGES, START_TAGS, Language, language
-from ..rules.model import Matcher, Predicate, Relation, Rule, RuleError
-from .match import binding, capture, captures, find_pattern
+from ..functions.regex import compiled as regex
+from ..langs import LANGUAGES, Language, language
+from ..rules.model import Matcher, Predicate, Rule, RuleError
 from .pattern import Pattern, compile_pattern
-from .query import compile_query, find_query
+from .query import Query, compile_query
+
+
+@dataclass(eq=False)
+class Step:
+    """A matcher. ``names``: what it may capture; ``wins``: its captures replace what is bound, as those of queries do."""
+
+    kind: str
+    parts: list[Step] = field(default_factory=list)
+    where: list[Check] = field(default_factory=list)
+    pattern: Pattern | None = None
+    query: Query | None = None
+
+    @cached_property
+    def names(self) -> list[str]:
+        own = self.pattern.names if self.pattern else self.query.names if self.query else []
+        return own if own or self.kind == "not" else list(dict.fromkeys(n for p in self.parts for n in p.names))
+
+    @cached_property
+    def wins(self) -> bool:
+        return self.query is not None or self.kind != "not" and any(p.wins for p in self.parts)
+
+    @cached_property
+    def finds(self) -> bool:
+        """Whether it names nodes by itself, as opposed to ruling some out."""
+        return self.kind in ("pattern", "query") or self.kind != "not" and any(p.finds for p in self.parts)
+
 
-ROW = ["file_id", "gen"]
+@dataclass(eq=False)
+class Check:
+    """A condition. ``op`` is as in a Predicate."""
 
+    op: str
+    var: str
+    value: object
+    negated: bool
+    parts: list[Check]
+    step: Step | None
+    search: Regex | None
 
-def can_find(m: Matcher) -> bool:
-    """Whether a matcher names nodes by itself, as opposed to ruling some out."""
-    if m.kind in ("pattern", "query"):
-        return True
-    return m.kind != "not" and any(map(can_find, m.parts))
 
+@dataclass(eq=False)
+class Near:
+    """A relation: inside, has, precedes or follows."""
 
-def _asks_kind(p: Predicate) -> bool:
-    return p.op == "kind_in" and p.var == "match" or any(map(_asks_kind, p.parts))
+    name: str
+    directly: bool
+    negated: bool
+    step: Step
 
 
 class Compiled:
@@ -35,49 +66,34 @@ class Compiled:
 
     def __init__(self, rule: Rule, lang: Language):
         self.rule, self.lang = rule, lang
-        self.made: dict[int, Pattern | tuple] = {}
-        if rule.match is None or not can_find(rule.match):
+        self.match = self._step(rule.match) if rule.match is not None else None
+        if self.match is None or not self.match.finds:
             raise RuleError(f"rule {rule.id!r} needs a positive matcher")
-        self._prepare(rule.match)
-        for r in rule.relations:
-            self._prepare(r.matcher)
-        self._predicates(rule.where)
-        if rule.report and rule.report != "match" and rule.report not in self.names(rule.match) | {n for r in rule.relations if not r.negated for n in self.names(r.matcher)}:
+        self.near = [Near(r.name, r.directly, r.negated, self._step(r.matcher)) for r in rule.relations]
+        self.where = [self._check(p) for p in rule.where]
+        if rule.report and rule.report != "match" and rule.report not in {*self.match.names, *(n for r in self.near if not r.negated for n in r.step.names)}:
             raise RuleError(f"rule {rule.id!r}: report names ${rule.report}, which nothing captures")
 
-    def _prepare(self, m: Matcher) -> None:
+    def _step(self, m: Matcher) -> Step:
         if m.kind == "pattern":
-            self.made[id(m)] = compile_pattern(m.body, self.lang)
-        elif m.kind == "query":
-            self.made[id(m)] = compile_query(m.body)
-        for p in m.parts:
-            self._prepare(p)
-        self._predicates(m.where)
-
-    def _predicates(self, predicates: list[Predicate]) -> None:
-        for p in predicates:
-            if p.op == "matches":
-                java(p.value)
-            if p.matcher is not None:
-                self._prepare(p.matcher)
-            self._predicates(p.parts)
-
-    def names(self, m: Matcher) -> set[str]:
-        if m.kind == "pattern":
-            return set(self.made[id(m)].names)
+            return Step("pattern", pattern=compile_pattern(m.body, self.lang))
         if m.kind == "query":
-            return set(self.made[id(m)][2])
-        return set() if m.kind == "not" else {n for p in m.parts for n in self.names(p)}
+            return Step("query", query=compile_query(m.body))
+        return Step(m.kind, [self._step(p) for p in m.parts], [self._check(p) for p in m.where])
+
+    def _check(self, p: Predicate) -> Check:
+        search = regex(p.value) if p.op == "matches" else None
+        return Check(p.op, p.var, p.value, p.negated, [self._check(x) for x in p.parts], self._step(p.matcher) if p.matcher is not None else None, search)
 
     @cached_property
     def anchor(self) -> str:
         """A word that every matching file contains; empty if none is known."""
-        return max((self._anchor(self.rule.match), *(self._anchor(r.matcher) for r in self.rule.relations if not r.negated)), key=len)
+        return max((self._anchor(self.match), *(self._anchor(r.step) for r in self.near if not r.negated)), key=len)
 
-    def _anchor(self, m: Matcher) -> str:
-        if m.kind == "pattern":
-            return self.made[id(m)].anchor
-        return max(map(self._anchor, m.parts), key=len, default="") if m.kind == "all" else ""
+    def _anchor(self, step: Step) -> str:
+        if step.pattern is not None:
+            return step.pattern.anchor
+        return max(map(self._anchor, step.parts), key=len, default="") if step.kind == "all" else ""
 
 
 def compile_rule(rule: Rule) -> list[Compiled]:
@@ -101,231 +117,3 @@ def compile_rule(rule: Rule) -> list[Compiled]:
     if not found:
         raise RuleError(f"rule {rule.id!r} fits no language: {why}")
     return found
-
-
-class Matches:
-    """Plans of one compiled rule over a node table."""
-
-    def __init__(self, compiled: Compiled, nodes: DataFrame):
-        self.c, self.nodes = compiled, nodes
-        self.here = nodes.where(F.col("lang") == compiled.lang.name)
-
-    # -- candidates ------------------------------------------------------------------------------------------------
-
-    def find(self, m: Matcher) -> DataFrame:
-        """Rows of matches: BASE columns and captures. ``gen`` tells their order within a file."""
-        if m.kind == "pattern":
-            return find_pattern(self.c.made[id(m)], self.nodes, self.c.lang)
-        if m.kind == "query":
-            return find_query(self.c.made[id(m)], self.nodes, self.c.lang).drop("cover_sb", "cover_eb")
-        if m.kind == "any":
-            found = None
-            for i, p in enumerate(p for p in m.parts if can_find(p)):
-                branch = self.find(p).withColumn("gen", F.concat(F.array(F.lit(i)), "gen"))
-                found = branch if found is None else found.unionByName(branch, allowMissingColumns=True)
-        elif m.kind == "all":
-            first = next(i for i, p in enumerate(m.parts) if can_find(p))
-            found = self.find(m.parts[first])
-            for i, p in enumerate(m.parts):
-                if i != first:
-                    found = self.tested(found, p)
-        else:
-            raise RuleError("a rule needs a positive matcher")
-        return self.where(found, m.where)
-
-    def tested(self, df: DataFrame, m: Matcher) -> DataFrame:
-        """Rows of ``df`` whose node a matcher accepts, with what it captures."""
-        if m.kind == "not":
-            return self._joined(df, m.parts[0], lambda t: F.col("node") == t("t"), [], True)
-        return self._joined(df, m, lambda t: F.col("node") == t("t"), [], False)
-
-    def _joined(self, df: DataFrame, m: Matcher, on, order: list, negated: bool) -> DataFrame:
-        """``df`` with the first node that ``m`` accepts under a condition; its captures must agree with those bound."""
-        tests, overwrite = self.tests(m)
-        new = captures(tests)
-        shared = [n for n in captures(df) if n in new]
-        side = tests.select(*[F.col(c).alias(f"x_{c}") for c in tests.columns])
-        t = lambda c: F.col(f"x_{c}")
-        meet = [F.col("file_id") == t("file_id"), on(t)]
-        if not overwrite or negated:
-            meet += [F.col(capture(n)).isNull() | t(capture(n)).isNull() | (F.col(capture(n))["text"] == t(capture(n))["text"]) for n in shared]
-        if negated:
-            return df.join(side, all_of(meet), "left_anti")
-        if not new or not overwrite and set(new) <= set(shared) and m.kind != "any":
-            if not any(self._partial(m)):
-                return df.join(side, all_of(meet), "left_semi")
-        both = df.join(side, all_of(meet))
-        rank = F.row_number().over(Window.partitionBy(*ROW).orderBy(*[o(t) for o in order], t("ord")))
-        both = both.withColumn("__rank", rank).where("__rank = 1")
-        kept = []
-        for n in dict.fromkeys([*captures(df), *new]):
-            if n not in new:
-                kept.append(F.col(capture(n)))
-            elif n not in shared or overwrite:
-                kept.append(t(capture(n)).alias(capture(n)))
-            else:
-                kept.append(F.coalesce(capture(n), t(capture(n))).alias(capture(n)))
-        return both.select(*[c for c in df.columns if not c.startswith("b_")], *kept)
-
-    def _partial(self, m: Matcher) -> list[bool]:
-        """True for each part that may leave a capture unbound."""
-        return [True] if m.kind == "any" else [x for p in m.parts for x in self._partial(p)]
-
-    # -- tests of single nodes -------------------------------------------------------------------------------------
-
-    def _info(self, *extra: str) -> DataFrame:
-        return self.here.select("file_id", F.col("pre").alias("t"), F.col("stop").alias("t_stop"), F.col("parent").alias("t_parent"), F.col("rel_ord").alias("t_rel"), *extra)
-
-    def tests(self, m: Matcher) -> tuple[DataFrame, bool]:
-        """(file_id, t, t_stop, t_parent, t_rel, ord, captures): the nodes that a matcher accepts; whether its captures win over bound ones."""
-        columns = ["file_id", "t", "t_stop", "t_parent", "t_rel", "ord"]
-        if m.kind == "pattern":
-            pattern = self.c.made[id(m)]
-            found = find_pattern(pattern, self.nodes, self.c.lang)
-            found = found.select(F.col("file_id").alias("ff"), F.col("node").alias("fn"), F.col("gen").alias("ord"), *map(capture, captures(found)))
-            names = [capture(n) for n in captures(found)]
-            key = "pre" if pattern.sequence else "core"
-            accepted = self._info(F.col(key).alias("key")).join(found, (F.col("file_id") == F.col("ff")) & (F.col("key") == F.col("fn"))).select(*columns, *names)
-            if not pattern.sequence and pattern.tops[0].kind in START_TAGS:
-                elements = self._info("kind", F.get("kids", 0)["pre"].alias("key")).where("kind = 'element'")
-                accepted = accepted.unionByName(elements.join(found, (F.col("file_id") == F.col("ff")) & (F.col("key") == F.col("fn"))).select(*columns, *names))
-            return accepted, False
-        if m.kind == "query":
-            found = find_query(self.c.made[id(m)], self.nodes, self.c.lang)
-            names = [capture(n) for n in captures(found)]
-            found = found.select(F.col("file_id").alias("ff"), F.col("node").alias("fn"), F.col("gen").alias("ord"), "cover_sb", "cover_eb", *names)
-            at = self._info("sb", "eb")
-            on = (F.col("file_id") == F.col("ff")) & (F.col("sb") == F.col("cover_sb")) & (F.col("eb") >= F.col("cover_eb")) & (F.col("fn") >= F.col("t")) & (F.col("fn") < F.col("t_stop"))
-            return at.join(found, on).select(*columns, *names), True
-        if m.kind == "any":
-            found, overwrite = None, False
-            for i, p in enumerate(m.parts):
-                branch, wins = self.tests(p)
-                overwrite = overwrite or wins
-                branch = branch.withColumn("ord", F.concat(F.array(F.lit(i)), "ord"))
-                found = branch if found is None else found.unionByName(branch, allowMissingColumns=True)
-            return self._tests_where(found, m), overwrite
-        parts = m.parts if m.kind == "all" else [m]
-        positive = [p for p in parts if p.kind != "not"]
-        if positive:
-            found, overwrite = self.tests(positive[0])
-        else:
-            found, overwrite = self._info().withColumn("ord", F.array().cast("array<int>")), False
-        for p in positive[1:]:
-            more, wins = self.tests(p)
-            found, overwrite = self._both(found, more, "inner"), overwrite or wins
-        for p in parts:
-            if p.kind == "not":
-                found = self._both(found, self.tests(p.parts[0])[0], "left_anti")
-        return (self._tests_where(found, m) if m.kind == "all" else found), overwrite
-
-    def _both(self, found: DataFrame, more: DataFrame, how: str) -> DataFrame:
-        new = captures(more)
-        side = more.select(F.col("file_id").alias("yf"), F.col("t").alias("yt"), F.col("ord").alias("yo"), *[F.col(capture(n)).alias(f"y_{n}") for n in new])
-        on = [F.col("file_id") == F.col("yf"), F.col("t") == F.col("yt")]
-        on += [F.col(capture(n)).isNull() | F.col(f"y_{n}").isNull() | (F.col(capture(n))["text"] == F.col(f"y_{n}")["text"]) for n in captures(found) if n in new]
-        joined = found.join(side, all_of(on), how)
-        if how == "left_anti":
-            return joined
-        joined = joined.withColumn("ord", F.concat("ord", "yo"))
-        for n in new:
-            joined = joined.withColumn(capture(n), F.coalesce(capture(n), f"y_{n}") if capture(n) in found.columns else F.col(f"y_{n}"))
-        return joined.drop("yf", "yt", "yo", *[f"y_{n}" for n in new])
-
-    def _tests_where(self, found: DataFrame, m: Matcher) -> DataFrame:
-        if not m.where:
-            return found
-        spans = self.here.select(F.col("file_id").alias("wf"), F.col("pre").alias("wp"), F.col("text").alias("w_text"), F.col("kind").alias("w_kind"), F.col("sb").alias("w_sb"), F.col("eb").alias("w_eb"))
-        df = found.join(spans, (F.col("file_id") == F.col("wf")) & (F.col("t") == F.col("wp"))).drop("wf", "wp")
-        had = "b_match" in df.columns
-        if not had:
-            df = df.withColumn("b_match", binding(F.col("t"), F.col("w_kind"), F.col("w_text"), F.col("w_sb"), F.col("w_eb")))
-        df = self._filtered(df.withColumn("gen", F.concat(F.array("t"), "ord")), m.where)
-        return df.drop("gen", "w_text", "w_kind", "w_sb", "w_eb", *["b_match"] * (not had))
-
-    # -- relations ---------------------------------------------------------------------------------------------------
-
-    def related(self, df: DataFrame, r: Relation) -> DataFrame:
-        """Rows of ``df`` whose node stands in a relation to a node that a matcher accepts: the nearest, or in ``has`` the first."""
-        at = self.here.select(F.col("file_id").alias("cf"), F.col("pre").alias("cp"), F.col("stop").alias("c_stop"), F.col("parent").alias("c_parent"), F.col("block").alias("c_block"), F.col("stmt_ord").alias("c_ord"))
-        known = df.join(at, (F.col("file_id") == F.col("cf")) & (F.col("node") == F.col("cp"))).drop("cf", "cp")
-        c = F.col
-        on, order = {
-            ("inside", False): (lambda t: (t("t") < c("node")) & (c("node") < t("t_stop")), lambda t: F.desc(t("t"))),
-            ("inside", True): (lambda t: t("t") == c("c_parent"), lambda t: t("t")),
-            ("has", False): (lambda t: (t("t") > c("node")) & (t("t") < c("c_stop")), lambda t: t("t")),
-            ("has", True): (lambda t: (t("t_parent") == c("node")) & t("t_rel").isNotNull(), lambda t: t("t")),
-            ("precedes", False): (lambda t: (t("t_parent") == c("c_block")) & (t("t_rel") < c("c_ord")), lambda t: F.desc(t("t_rel"))),
-            ("precedes", True): (lambda t: (t("t_parent") == c("c_block")) & (t("t_rel") == c("c_ord") - 1), lambda t: t("t")),
-            ("follows", False): (lambda t: (t("t_parent") == c("c_block")) & (t("t_rel") > c("c_ord")), lambda t: t("t_rel")),
-            ("follows", True): (lambda t: (t("t_parent") == c("c_block")) & (t("t_rel") == c("c_ord") + 1), lambda t: t("t")),
-        }[r.name, r.directly]
-        matcher, negated = r.matcher, r.negated
-        return self._joined(known, matcher, on, [order], negated).drop("c_stop", "c_parent", "c_block", "c_ord")
-
-    # -- conditions --------------------------------------------------------------------------------------------------
-
-    def where(self, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
-        if not predicates:
-            return df
-        had = "b_match" in df.columns
-        df = self._filtered(df if had else self.with_match(df, predicates), predicates)
-        return df if had else df.drop("b_match")
-
-    def with_match(self, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
-        """``df`` with $match: the whole span, and its node if the span is one; its kind only where a predicate asks for it."""
-        if not any(map(_asks_kind, predicates)):
-            return df.withColumn("b_match", binding(F.col("span_node"), F.lit(None), F.col("text"), F.col("sb"), F.col("eb")))
-        kinds = self.here.select(F.col("file_id").alias("mf"), F.col("pre").alias("mp"), F.col("kind").alias("m_kind"))
-        df = df.join(kinds, (F.col("file_id") == F.col("mf")) & (F.col("span_node") == F.col("mp")), "left")
-        return df.withColumn("b_match", binding(F.col("span_node"), F.col("m_kind"), F.col("text"), F.col("sb"), F.col("eb"))).drop("mf", "mp", "m_kind")
-
-    def _filtered(self, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
-        flags: dict[int, str] = {}
-        df = self._flags(df, predicates, flags)
-        bound = {n: F.col(capture(n)) for n in captures(df)}
-        exists = lambda p: F.col(flags[id(p)]) if id(p) in flags else F.lit(False)
-        df = df.where(all_of([conditions.condition(p, bound, exists) for p in predicates]))
-        return df.drop(*flags.values())
-
-    def _flags(self, df: DataFrame, predicates: list[Predicate], flags: dict[int, str]) -> DataFrame:
-        """A column for each ``is``: whether the capture's node or one below it is accepted."""
-        for p in predicates:
-            df = self._flags(df, p.parts, flags)
-            if p.op != "is" or capture(p.var) not in df.columns:
-                continue
-            name = f"__is{len(flags)}"
-            flags[id(p)] = name
-            tests, _ = self.tests(p.matcher)
-            shared = [n for n in captures(df) if n in captures(tests)]
-            rows = df.select(*ROW, F.col(capture(p.var))["node"].alias("i_node"), *map(capture, shared)).where("i_node is not null")
-            stops = self.here.select(F.col("file_id").alias("sf"), F.col("pre").alias("sp"), F.col("stop").alias("i_stop"))
-            rows = rows.join(stops, (F.col("file_id") == F.col("sf")) & (F.col("i_node") == F.col("sp"))).drop("sf", "sp")
-            side = tests.select(F.col("file_id").alias("tf"), "t", *[F.col(capture(n)).alias(f"t_{n}") for n in shared])
-            on = [F.col("file_id") == F.col("tf"), F.col("t") >= F.col("i_node"), F.col("t") < F.col("i_stop")]
-            on += [F.col(capture(n)).isNull() | F.col(f"t_{n}").isNull() | (F.col(capture(n))["text"] == F.col(f"t_{n}")["text"]) for n in shared]
-            hit = rows.join(side, all_of(on), "left_semi").select(F.col("file_id").alias("hf"), F.col("gen").alias("hg")).distinct().withColumn(name, F.lit(True))
-            df = df.join(hit, (F.col("file_id") == F.col("hf")) & (F.col("gen") == F.col("hg")), "left").drop("hf", "hg").withColumn(name, F.coalesce(name, F.lit(False)))
-        return df
-
-    # -- the whole rule ------------------------------------------------------------------------------------------------
-
-    def rows(self) -> DataFrame:
-        """Matches of the rule: relations in the order they're written, then conditions, then the reported span; one row a span."""
-        rule = self.c.rule
-        df = self.find(rule.match)
-        if "b_match" not in df.columns:
-            df = self.with_match(df, rule.where)
-        for r in rule.relations:
-            df = self.related(df, r)
-        if rule.where:
-            df = self._filtered(df, rule.where)
-        if rule.report and rule.report != "match" and capture(rule.report) in df.columns:
-            narrow = self.here.select(F.col("file_id").alias("nf"), F.col("pre").alias("np"), *[F.col(c).alias(f"n_{c}") for c in ("sb", "eb", "sr", "sc", "er", "ec", "text")])
-            df = df.join(narrow, (F.col("file_id") == F.col("nf")) & (F.col(capture(rule.report))["node"] == F.col("np")), "left")
-            for c in ("sb", "eb", "sr", "sc", "er", "ec", "text"):
-                df = df.withColumn(c, F.coalesce(f"n_{c}", c))
-            df = df.drop("nf", "np", *[f"n_{c}" for c in ("sb", "eb", "sr", "sc", "er", "ec", "text")])
-        first = F.row_number().over(Window.partitionBy("file_id", "sb", "eb").orderBy("gen"))
-        return df.withColumn("__first", first).where("__first = 1").drop("__first")
-

@@ -1,112 +1,47 @@
-"""Files to nodes: every file is parsed once, in the task that holds it, into rows that plans can join.
+"""Files to nodes: every file is parsed once, in the task that holds it, into rows to count or join.
 
-``kids`` of a row are what a pattern looks at: its children without comments and separators, each as the node that remains
-when wrappers around it are looked through. A pattern of depth one needs no join for them.
+Sources are stored once: an inner node has its bytes' offsets only, and leaves have their text, so a table holds a file's
+text about once. Rules don't go through this table; see operators.findings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..langs import BLOCKS, BY_NAME, SEPARATORS, Language, through
+from ..langs import BY_NAME, Language
+from ..langs.index import Tree
 from ..langs.tree import Syn
 
-KID = "struct<pre:int,raw:int,kind:string,named:boolean,text:string,hole:string,sb:int,eb:int,rsb:int,reb:int,n_named:int,literal:boolean>"
 SCHEMA = (
     "file_id long, lang string, path string, pre int, stop int, parent int, depth int, kind string, named boolean, extra boolean, missing boolean, is_error boolean, has_error boolean, comment boolean, field string, "
-    "sb int, eb int, sr int, sc int, er int, ec int, child_ord int, rel_ord int, n_rel int, named_ord int, n_named int, core int, stmt int, stmt_ord int, block int, text string, hole string, literal boolean, "
-    f"kids array<{KID}>"
+    "sb int, eb int, sr int, sc int, er int, ec int, child_ord int, rel_ord int, named_ord int, core int, stmt int, text string"
 )
-_KID = pa.struct([("pre", pa.int32()), ("raw", pa.int32()), ("kind", pa.string()), ("named", pa.bool_()), ("text", pa.string()), ("hole", pa.string()), *((n, pa.int32()) for n in ("sb", "eb", "rsb", "reb", "n_named")), ("literal", pa.bool_())])
-_BOOL = {"named", "extra", "missing", "is_error", "has_error", "comment", "literal"}
-_TEXT = {"kind", "field", "text", "hole"}
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", kids ")[0].split(", ")][3:]
+_BOOL = {"named", "extra", "missing", "is_error", "has_error", "comment"}
+_TEXT = {"kind", "field", "text"}
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")][3:]
 
 
 def rows_of(root: Syn, source: str, lang: Language) -> dict[str, list]:
     """The columns of a tree's nodes, in pre-order."""
-    data = source.encode("utf-8", "surrogatepass")
-    if len(data) == len(source):
-        offset = range(len(source) + 1)
-    else:
-        sizes = np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in source), np.int64, len(source))
-        offset = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    lines = [0] + [i + 1 for i, b in enumerate(data) if b == 10]
-    nodes: list[Syn] = []
-    parents: list[int] = []
-    stack = [(root, -1)]
-    while stack:
-        node, parent = stack.pop()
-        at = len(nodes)
-        nodes.append(node)
-        parents.append(parent)
-        stack.extend((k, at) for k in reversed(node.kids))
-    n = len(nodes)
-    stop = list(range(1, n + 1))
+    tree = Tree(root, source, lang)
+    nodes, every = tree.nodes, range(len(tree.nodes))
     has_error = [x.kind == "ERROR" or x.missing for x in nodes]
-    for i in range(n - 1, 0, -1):
-        p = parents[i]
-        stop[p] = max(stop[p], stop[i])
-        has_error[p] = has_error[p] or has_error[i]
-    children: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        children[parents[i]].append(i)
-    starts = np.array([offset[x.start] for x in nodes])
-    ends = np.array([offset[x.end] for x in nodes])
-    start_row, end_row = (np.searchsorted(lines, x, "right") - 1 for x in (starts, ends))
-    line = np.array(lines)
-    text = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    comment = [x.kind in lang.comments for x in nodes]
-    seen = [not (x.extra or x.missing or c) for x, c in zip(nodes, comment, strict=True)]
-    relevant = [[k for k in ks if seen[k] and nodes[k].kind not in SEPARATORS] for ks in children]
-    named = [[k for k in ks if seen[k] and nodes[k].named] for ks in children]
-    out: dict[str, list] = {
-        "pre": list(range(n)), "stop": stop, "parent": [None if p < 0 else p for p in parents], "kind": [x.kind for x in nodes], "named": [x.named for x in nodes], "extra": [x.extra for x in nodes],
-        "missing": [x.missing for x in nodes], "is_error": [x.kind == "ERROR" for x in nodes], "has_error": has_error, "comment": comment, "field": [x.field for x in nodes], "sb": starts.tolist(), "eb": ends.tolist(),
-        "sr": start_row.tolist(), "sc": (starts - line[start_row]).tolist(), "er": end_row.tolist(), "ec": (ends - line[end_row]).tolist(), "n_rel": [len(x) for x in relevant], "n_named": [len(x) for x in named], "text": text,
-        "literal": [x.kind in lang.literals for x in nodes],
+    depth = [0] * len(nodes)
+    for i in every[1:]:
+        depth[i] = depth[tree.parent[i]] + 1
+    for i in reversed(every[1:]):
+        has_error[tree.parent[i]] |= has_error[i]
+    starts, ends = [tree.start(i) for i in every], [tree.end(i) for i in every]
+    begin, finish = [tree.place(x) for x in starts], [tree.place(x) for x in ends]
+    return {
+        "pre": list(every), "stop": tree.stop, "parent": [None if p < 0 else p for p in tree.parent], "depth": depth, "kind": [x.kind for x in nodes], "named": [x.named for x in nodes], "extra": [x.extra for x in nodes],
+        "missing": [x.missing for x in nodes], "is_error": [x.kind == "ERROR" for x in nodes], "has_error": has_error, "comment": [tree.comment(i) for i in every], "field": [x.field for x in nodes], "sb": starts, "eb": ends,
+        "sr": [p[0] for p in begin], "sc": [p[1] for p in begin], "er": [p[0] for p in finish], "ec": [p[1] for p in finish], "child_ord": [tree.child_ord.get(i) for i in every], "rel_ord": [tree.rel_ord.get(i) for i in every],
+        "named_ord": [tree.named_ord.get(i) for i in every], "core": [tree.core(i) for i in every], "stmt": [tree.statement(i) for i in every], "text": [None if tree.children[i] else tree.text(i) for i in every],
     }
-    depth, core, stmt, block = [0] * n, list(range(n)), [None] * n, [None] * n
-    orders = {c: [None] * n for c in ("child_ord", "rel_ord", "named_ord")}
-    for i in range(n):
-        for name, lists in (("child_ord", children), ("rel_ord", relevant), ("named_ord", named)):
-            for order, k in enumerate(lists[i]):
-                orders[name][k] = order
-        p = parents[i]
-        if p >= 0:
-            depth[i] = depth[p] + 1
-            if nodes[p].kind in BLOCKS:
-                stmt[i], block[i] = i, p
-            else:
-                stmt[i], block[i] = stmt[p], block[p]
-    for i in range(n - 1, -1, -1):
-        if len(named[i]) == 1 and through(nodes[i].kind, lang):
-            core[i] = core[named[i][0]]
-    hole = [_hole(data, i, children[i], nodes, starts, ends) for i in range(n)]
-    out |= orders | {"depth": depth, "core": core, "stmt": stmt, "stmt_ord": [None if s is None else orders["rel_ord"][s] for s in stmt], "block": block, "hole": hole}
-    kid = [None] * n
-    for i in range(n):
-        c = core[i]
-        kid[i] = {"pre": c, "raw": i, "kind": nodes[c].kind, "named": nodes[i].named, "text": text[c], "hole": hole[c], "sb": out["sb"][c], "eb": out["eb"][c], "rsb": out["sb"][i], "reb": out["eb"][i], "n_named": len(named[c]), "literal": out["literal"][c]}
-    out["kids"] = [[kid[k] for k in ks] for ks in relevant]
-    return out
-
-
-def _hole(data: bytes, i: int, kids: list[int], nodes: list[Syn], starts: np.ndarray, ends: np.ndarray) -> str | None:
-    """What stands between the tokens at a node's edges, if it has no other children."""
-    if not kids or any(nodes[k].named for k in kids):
-        return None
-    a, b = int(starts[i]), int(ends[i])
-    left = list(kids)
-    while left and starts[left[0]] == a:
-        a = int(ends[left.pop(0)])
-    while left and ends[left[-1]] == b:
-        b = int(starts[left.pop()])
-    return None if left or a > b else data[a:b].decode("utf-8", "replace")
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -118,7 +53,7 @@ def nodes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, paths, held, size = [], [], [], {c: [] for c in [*COLUMNS, "kids"]}, 0
+            ids, langs, paths, held, size = [], [], [], {c: [] for c in COLUMNS}, 0
             for i, name, source, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lang = BY_NAME.get((name or "").lower())
                 if lang is None or lang.parse is None:
@@ -144,4 +79,4 @@ def _batch(ids: list, langs: list, paths: list, held: dict[str, list]) -> pa.Rec
     columns = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(paths, pa.string())]
     for c in COLUMNS:
         columns.append(pa.array(held[c], pa.bool_() if c in _BOOL else pa.string() if c in _TEXT else pa.int32()))
-    return pa.RecordBatch.from_arrays([*columns, pa.array(held["kids"], pa.list_(_KID))], ["file_id", "lang", "path", *COLUMNS, "kids"])
+    return pa.RecordBatch.from_arrays(columns, ["file_id", "lang", "path", *COLUMNS])

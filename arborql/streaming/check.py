@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.findings import check, parsed, selected
+from ..operators.findings import check, selected
 from ..operators.project import Config
 from ..rules.model import Rule
 
@@ -15,14 +15,10 @@ def check_stream(files: DataFrame, rules: list[Rule], output: str, checkpoint: s
 
     A batch that runs again after a failure replaces its folder, so each file's findings are there once.
     """
-    compiled = selected(rules, config)
+    selected(rules, config)  # says at once what doesn't compile
 
     def one(batch: DataFrame, epoch: int) -> None:
-        nodes = parsed(batch, compiled)
-        try:
-            check(batch, rules, config, nodes=nodes).write.mode("overwrite").parquet(f"{output}/batch={epoch}")
-        finally:
-            nodes.unpersist()
+        check(batch, rules, config).write.mode("overwrite").parquet(f"{output}/batch={epoch}")
 
     writer = files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

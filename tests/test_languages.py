@@ -3,6 +3,7 @@
 import pytest
 
 from arborql.langs import BY_EXTENSION, LANGUAGES, language
+from arborql.langs.index import Tree
 from arborql.plans.pattern import compile_pattern
 from arborql.plans.query import compile_query
 from arborql.rules import RuleError
@@ -29,13 +30,16 @@ def test_trees_hold_together(name, cut):
     data = source.encode()
     for i, p in enumerate(rows["parent"]):
         assert 0 <= rows["sb"][i] <= rows["eb"][i] <= len(data)
-        assert rows["text"][i] == data[rows["sb"][i] : rows["eb"][i]].decode()
+        assert rows["text"][i] in (None, data[rows["sb"][i] : rows["eb"][i]].decode()) and (rows["text"][i] is None) == (i in rows["parent"])
         assert rows["sr"][i] == data[: rows["sb"][i]].count(b"\n") and rows["sc"][i] == rows["sb"][i] - (data[: rows["sb"][i]].rfind(b"\n") + 1)
         if p is not None:
             assert p < i < rows["stop"][p] and rows["stop"][i] <= rows["stop"][p]
             assert rows["sb"][p] <= rows["sb"][i] and rows["eb"][i] <= rows["eb"][p], (rows["kind"][p], rows["kind"][i])
-    for i, kids in enumerate(rows["kids"]):
-        assert [k["rsb"] for k in kids] == sorted(k["rsb"] for k in kids) and len(kids) == rows["n_rel"][i]
+    tree = Tree(lang.parse(source), source, lang)
+    for i in range(len(tree.nodes)):
+        kids = tree.relevant(i)
+        assert [tree.start(k) for k in kids] == sorted(tree.start(k) for k in kids) and [tree.rel_ord[k] for k in kids] == list(range(len(kids)))
+    assert cut or sum(len(t) for t in rows["text"] if t) <= len(source)
 
 
 def kinds(name, source):
