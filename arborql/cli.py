@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -84,9 +85,9 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     if args.fix:
-        for r in fixes.fixed_sources(files, rows).where("applied > 0").toLocalIterator():
-            target = next((p for p in (os.path.join(root, r["file"]) for root in args.paths) if os.path.isfile(p)), r["file"])
-            with open(target, "w", encoding="utf-8", newline="") as f:
+        fixed = fixes.fixed_sources(files, rows).where("applied > 0").join(files.select("file_id", "uri"), "file_id")
+        for r in fixed.toLocalIterator():
+            with open(re.sub("^file:/+", "/", r["uri"]), "w", encoding="utf-8", newline="") as f:
                 f.write(r["fixed_src"])
     shown = rows.where("severity = 'error'") if args.quiet else rows
     if args.json:

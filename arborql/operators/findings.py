@@ -140,10 +140,19 @@ def check(files: DataFrame, rules: list[Rule], config: Config | None = None, lan
         return files.sparkSession.createDataFrame([], SCHEMA)
     # The filter stands below the parse, where it reaches the scan; files without work never leave the JVM.
     may = files.where(any_of([may_match(c, prefilter) for c in compiled]))
-    found = matched(may.withColumn("todo", to_do(compiled, prefilter)), compiled, keep_suppressed)
+    found = matched(spread(may.withColumn("todo", to_do(compiled, prefilter))), compiled, keep_suppressed)
     return found.withColumn("about", F.get(about(compiled, config), F.col("number"))).select("about.*", *COLUMNS[6:], "message").select(*COLUMNS)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """``files``, dealt over all cores if their input is too small to have a split for each: parsing is the costly part. Larger
+    inputs stay where they are; nothing is run to find out, as the plan knows its size."""
+    spark = files.sparkSession
+    session, cores = spark._jsparkSession.sessionState(), spark.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(cores) if size < cores * session.conf().filesMaxPartitionBytes() else files
+
+
 def about(compiled: list[Compiled], config: Config) -> Column:
     """What findings say of their rule, as a constant array by number."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,31 +20,38 @@ def language_of(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file_id, path, lang, src) of folders and files, anywhere that Spark reads.
+    """(file_id, path, lang, src, uri) of folders and files, anywhere that Spark reads.
 
     Below a folder, PASSED_OVER and folders that begin with a dot are left out; a file that is named is taken as it is. A
-    path that isn't there is an error, as in any read. ``path`` is relative to the folder it was found below.
+    path that isn't there is an error, as in any read. ``uri`` is the whole path and ``file_id`` its hash, so files of equal
+    names below several roots are different files, and one that is below two of the roots is there once. ``path`` is what
+    reports show and globs see: relative to the working folder for files in it, else to the root the file was found below.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here = hadoop.Path(f"file://{os.getcwd()}").toUri().getPath().rstrip("/") + "/"
     found = None
-    for root in paths:
+    for named in paths:
+        root = os.path.abspath(named) if not os.path.isabs(named) and os.path.exists(named) else named  # the JVM may run elsewhere
         at = hadoop.Path(root)
         system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         status = system.getFileStatus(at)
         base = status.getPath().toString().rstrip("/")
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumnRenamed("path", "uri")
         if status.isDirectory():
-            inside = F.expr(f"substring(path, {len(base) + 2})")
+            inside = F.expr(f"substring(uri, {len(base) + 2})")
             folders = F.slice(F.split(inside, "/"), 1, F.greatest(F.size(F.split(inside, "/")) - 1, F.lit(0)))
-            skipped = F.exists(folders, lambda x: x.isin(*PASSED_OVER) | x.startswith("."))
-            rows = read.where(~skipped).select(inside.alias("path"), F.col("content"))
+            read = read.where(~F.exists(folders, lambda x: x.isin(*PASSED_OVER) | x.startswith(".")))
         else:
-            rows = read.select(F.lit(root).alias("path"), "content")
+            inside = F.lit(named)
+        local = F.regexp_replace("uri", "^file:/+", "/")
+        shown = F.when(F.startswith("uri", F.lit("file:/")) & F.startswith(local, F.lit(here)), F.substring(local, F.lit(len(here) + 1), F.length(local))).otherwise(inside)
+        rows = read.select("uri", shown.alias("path"), "content")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         raise ValueError("no paths")
     files = found.withColumn("lang", language_of(F.col("path"))).where("lang is not null")
-    return files.select(F.xxhash64("path").alias("file_id"), "path", "lang", F.col("content").cast("string").alias("src"))
+    files = files if len(paths) == 1 else files.dropDuplicates(["uri"])
+    return files.select(F.xxhash64("uri").alias("file_id"), "path", "lang", F.col("content").cast("string").alias("src"), "uri")
 
 
 def documents(df: DataFrame, id_col: str, src: Column | str, lang: str, path: Column | str | None = None) -> DataFrame:
