@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langs import language
 from .operators import findings as found
+from .operators import report
 from .operators.fixes import fix_counts, fixed_sources
 from .operators.project import Config
 from .operators.testing import run_tests
-from .rules import read_rules
-from .sources import documents, nodes
+from .plans.compile import compile_rule
+from .plans.pattern import compile_pattern
+from .rules import RuleError, read_rules
+from .sources import documents, nodes, scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +78,14 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return documents(_table(spark, d, "pages"), "page_id", "html", "html", F.regexp_replace("url", r"^[a-z]+://", ""))
 
 
+def brackets(spark: SparkSession, d: str) -> DataFrame:
+    """A customer as lists: an empty one, one with a blank or with a number, and a nested one."""
+    t = _table(spark, d, "customer")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = F.concat(F.lit('{"v": '), F.when(k % 3 == 0, "[]").when(k % 3 == 1, "[ ]").otherwise("[1]"), F.lit(', "w": [['), (k % 3).cast("string"), F.lit(", "), (n % 3).cast("string"), F.lit("], "), (k % 2).cast("string"), F.lit("]}"))
+    return documents(t, "c_custkey", text, "json")
+
+
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """A supplier as a style sheet."""
     t = _table(spark, d, "supplier")
@@ -197,6 +212,76 @@ CHECKS: dict[str, tuple] = {
 }
 
 
+CHECKS |= {
+    "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "empty_node": (brackets, 'rule r { in json pattern { "v": [] } }', {"snippet": "snippet"}, "SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 3 WHEN 0 THEN '\"v\": []' ELSE '\"v\": [ ]' END AS snippet FROM customer WHERE c_custkey % 3 < 2"),
+    "variadic_value": (customers, 'rule r { in json pattern { "segment": $$$V } }', captured("V"), _customer("true", "'\"' || c_mktsegment || '\"' AS v")),
+    "committed_choice": (brackets, 'rule r { in json pattern { [[$$$A, $X, $$$B], $X] } }', captured("A", "X", "B"), "SELECT CAST(c_custkey AS BIGINT) AS id, '' AS a, CAST(c_custkey % 2 AS VARCHAR) AS x, CAST(c_nationkey % 3 AS VARCHAR) AS b FROM customer WHERE c_custkey % 3 = c_custkey % 2"),
+}
+
+
+def language_filter(spark: SparkSession, d: str) -> DataFrame:
+    rules = read_rules('rule j { in json pattern { [$$$] } }\nrule y { in yaml pattern { - BUILDING } }\nrule both { in json, yaml pattern { "id": $I } }')
+    rows = found.check(nations(spark, d).unionByName(lists(spark, d)), rules, languages=["yaml"])
+    return rows.select(F.col("file_id").alias("id"), "rule", F.col("startLine").alias("line"))
+
+
+def folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as files in two folders, of which one is passed over."""
+    root = f"{_scratch(spark)}/scan-{uuid.uuid4().hex}"
+    rows = _table(spark, d, "customer").select("c_custkey", "c_mktsegment").repartition(4)
+    for folder in ("src/deep", "node_modules"):
+        rows.write.json(f"{root}/{folder}")
+    files = scan(spark, root)
+    known = files.select("file_id", F.regexp_extract("path", "^(.*)/part-", 1).alias("folder"))
+    rows = found.check(files, read_rules('rule r { in json pattern { "c_custkey": $I } }'))
+    return rows.join(known, "file_id").select(F.expr("bindings['I']").alias("i"), "folder")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode a temporary one if none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='arborql-')}"
+
+
+def report_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of a report, in its order."""
+    rows = found.check(customers(spark, d), read_rules('rule b { in json pattern { "a": $A } }\nrule a { in json pattern { "id": $I } }'))
+    return found.ordered(rows).limit(25).select("file", "startColumn", "rule")
+
+
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    rules = read_rules('rule r { in json tags t pattern { "nation": $N } note "n" }')
+    records = json.loads(report.to_json(found.check(nations(spark, d), rules)))
+    rows = [(r["file"], r["message"], r["tags"], r["bindings"]["N"], r["startColumn"], "fix" in r or "url" in r) for r in records]
+    return spark.createDataFrame(rows, "file string, message string, tags array<string>, n string, startColumn int, more boolean")
+
+
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    rules = read_rules('rule e { in json severity error pattern { "balance": $B } where $B < 0 }\nrule w { in json pattern { "segment": "BUILDING" } }')
+    rows = found.check(customers(spark, d), rules)
+    return spark.createDataFrame([(report.summary(rows), report.exit_code(rows), report.exit_code(rows, ["bad"]))], "summary string, code int, code_with_errors int")
+
+
+def rule_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of rules that can't run."""
+    rows = []
+    for n, rule in enumerate(BROKEN):
+        try:
+            rows.append((n, str([compile_rule(r) for r in read_rules(rule, "x.lint")] and "")))
+        except RuleError as e:
+            rows.append((n, str(e)))
+    return spark.createDataFrame(rows, "n int, said string").withColumn("said", F.regexp_extract("said", "needs a positive matcher|has no pattern|unknown language|which nothing captures|invalid regex|inside quotes|unknown severity|undefined let", 0))
+
+
+BROKEN = ['rule r { in json not pattern { 1 } }', "rule r { in json }", "rule r { in cobol pattern { 1 } }", 'rule r { in json pattern { "a": $X } report $Y }', 'rule r { in json pattern { "a": $X } where $X matches "(?=a)" }', "rule r { in xml pattern { <a b=\"$$$X\"/> } }", "rule r { severity bad }", "rule r { in json @M }", 'rule r { in json pattern { "a": $X } }']
+
+
+def pattern_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(lang, body, str(compile_pattern(body, language(lang)))) for lang, body in (("json", '"k": $V'), ("html", "<a $$$>"), ("xml", "<a/><b/>"), ("yaml", "- $X"), ("css", "$P: $$$V !important"))]
+    return spark.createDataFrame(rows, "lang string, body string, shape string")
+
+
 def severity_tally(spark: SparkSession, d: str) -> DataFrame:
     rules = read_rules('rule low { in json severity info pattern { "balance": $B } where $B < 0 }\nrule some { in json pattern { "segment": "BUILDING" } }\nrule off { in json pattern { "id": $I } }\nrule high { in json severity info pattern { "balance": $B } where $B > 9000 }')
     config = Config(off={"off"}, severities={"high": "error"})
@@ -238,6 +323,13 @@ def language_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 OTHERS: dict[str, tuple[Callable, str]] = {
+    "language_filter": (language_filter, f"SELECT CAST(n AS BIGINT) AS id, 'y' AS rule, CAST(i AS INT) AS line FROM {ORDERED} WHERE s = 'BUILDING'"),
+    "folder_scan": (folder_scan, "SELECT CAST(c_custkey AS VARCHAR) AS i, 'src/deep' AS folder FROM customer"),
+    "report_top": (report_top, "SELECT f AS file, c AS \"startColumn\", r AS rule FROM (SELECT 'data/' || lower(c_mktsegment) || '/' || CAST(c_custkey AS VARCHAR) || '.json' AS f, 2 AS c, 'a' AS r FROM customer UNION ALL SELECT 'data/' || lower(c_mktsegment) || '/' || CAST(c_custkey AS VARCHAR) || '.json', CAST(length('{\"id\":' || CAST(c_custkey AS VARCHAR) || ',\"segment\":\"' || c_mktsegment || '\",\"balance\":' || json_extract_string(json_object('b', c_acctbal), '$.b') || ',') + 1 AS INT), 'b' FROM customer) ORDER BY f, c, r LIMIT 25"),
+    "report_json": (report_json, "SELECT 'json/' || CAST(c_nationkey AS VARCHAR) AS file, 'r' AS message, ['t'] AS tags, CAST(c_nationkey AS VARCHAR) AS n, 2 AS \"startColumn\", false AS more FROM customer GROUP BY c_nationkey"),
+    "report_summary": (report_summary, "SELECT '✖ ' || e || CASE e WHEN 1 THEN ' error, ' ELSE ' errors, ' END || w || CASE w WHEN 1 THEN ' warning' ELSE ' warnings' END AS summary, 1 AS code, 2 AS code_with_errors FROM (SELECT count(*) FILTER (c_acctbal < 0) AS e, count(*) FILTER (c_mktsegment = 'BUILDING') AS w FROM customer)"),
+    "rule_errors": (rule_errors, "SELECT * FROM (VALUES (0, 'needs a positive matcher'), (1, 'has no pattern'), (2, 'unknown language'), (3, 'which nothing captures'), (4, 'invalid regex'), (5, 'inside quotes'), (6, 'unknown severity'), (7, 'undefined let'), (8, '')) v(n, said)"),
+    "pattern_text": (pattern_text, "SELECT * FROM (VALUES ('json', '\"k\": $V', '(pair (string_content) (:) $V)'), ('html', '<a $$$>', '(start_tag (<) (tag_name) $$$ (>))'), ('xml', '<a/><b/>', 'sequence of 2 nodes: (EmptyElemTag (<) (Name) (/>)) (EmptyElemTag (<) (Name) (/>))'), ('yaml', '- $X', '(block_sequence_item (-) $X)'), ('css', '$P: $$$V !important', '(declaration $P (:) $$$V (important))')) v(lang, body, shape)"),
     "severity_tally": (severity_tally, "SELECT 'info' AS severity, count(*) AS n FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0 UNION ALL SELECT 'warning', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) > 0 UNION ALL SELECT 'error', count(*) FROM customer WHERE c_acctbal > 9000 HAVING count(*) > 0"),
     "tag_filter": (tag_filter, _customer("c_acctbal < 0", "'one' AS rule")),
     "fix_apply": (fix_apply, _customer("c_mktsegment = 'BUILDING' OR c_acctbal < 0", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSING' ELSE c_mktsegment END AS segment, c_acctbal < 0 AS zeroed, CAST(c_mktsegment = 'BUILDING' AS INT) + CAST(c_acctbal < 0 AS INT) AS applied, 0 AS skipped")),
