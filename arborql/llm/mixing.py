@@ -55,22 +55,21 @@ def newton(total: Column, target: Column) -> Column:
     return F.when((total > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
 
 
-def _nearest_prefix(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` (source, id, size, block, h, ...) with ``extra`` 1 where a row's middle lies within its source's ``wanted`` tokens."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, id, size, block, h, ...) with ``upto``: the sum of sizes in their source from the first one to each."""
     inside = Window.partitionBy("source", "block").orderBy("h", F.asc_nulls_last("id"), "row")
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(ahead), F.lit(0))).join(wanted, "source").withColumnRenamed("source", "s").withColumnRenamed("block", "b")
+    starts = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("block_size").over(ahead), F.lit(0)).alias("before"))
     placed = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    return placed.withColumn("extra", (middle <= F.col("wanted")).cast("long")).drop("s", "b", "before", "block_size", "wanted")
+    return placed.withColumn("upto", F.col("before") + F.sum("size").over(inside)).drop("s", "b", "before")
 
 
 def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: int = 3, most: float = 3.0) -> DataFrame:
     """(id, size, source, source_size, target, rate, copies, row): one row per row of ``df``.
 
     ``size`` is the number of tokens of a row (null counts 0); a null source is a source of its own. Copies never exceed
-    ceil(rate), rate never ``most``. A source without tokens has target 0 and rate 1. Copies depend on ids, sizes and the
+    ``most``, and of large rows ceil(rate). A source without tokens has target 0 and rate 1. Copies depend on ids, sizes and the
     rows' order within equal (id, size) pairs only, so runs agree; repeated rows are rows of their own. No rows, no result.
     """
     base = df.select(df[id_col].alias("id"), df[source_col].alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
@@ -93,14 +92,20 @@ def _mix_sizes(base: DataFrame, weights: int, most: float) -> DataFrame:
     hash_ = F.xxhash64("id", "size")
     rows = base.join(held, F.col("source_key") == F.col("k")).drop("k", "n", "weight").withColumnRenamed("source", "label").withColumnRenamed("source_key", "source")
     rows = rows.withColumn("h", hash_).withColumn("block", F.shiftrightunsigned(hash_, 33) % F.col("blocks"))
-    wanted = plan.select(F.col("k").alias("source"), (F.col("fraction") * F.col("total")).alias("wanted_all"), "fraction")
-    large = rows.where(F.col("size") > F.col("small"))
-    of_large = large.groupBy("source").agg(F.sum("size").alias("large"))
-    first = _nearest_prefix(large, of_large.join(wanted, "source").select("source", (F.col("large") * F.col("fraction")).alias("wanted")))
-    first = stored(first, "mix-large")
+    is_large = F.col("size") > F.col("small")
+    sums = rows.groupBy("source").agg(F.sum(F.when(is_large, F.col("size")).otherwise(0)).alias("large"), F.max(F.when(is_large, F.col("size")).otherwise(0)).alias("largest"), F.sum(F.when(is_large, 0).otherwise(F.col("size"))).alias("little"))
+    wanted = stored(plan.select(F.col("k").alias("source"), (F.col("fraction") * F.col("total")).alias("wanted_all"), (F.lit(most) - F.floor("rate")).alias("room")).join(sums, "source"), "mix-wanted")
+    hold = lambda df: F.broadcast(df) if held is not plan else df
+    fill = F.col("little") * F.col("room") >= F.col("largest")
+    first = _placed(rows.where(is_large)).join(hold(wanted), "source")
+    middle = F.col("upto") - F.col("size") / 2
+    share = F.col("large") * F.col("fraction")
+    first = stored(first.withColumn("extra", F.when(fill, F.col("upto") <= share).otherwise(middle <= share).cast("long")), "mix-large")
     met = first.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("met"))
-    rest = wanted.join(met, "source", "left").select("source", (F.col("wanted_all") - F.coalesce("met", F.lit(0))).alias("wanted"))
-    second = _nearest_prefix(rows.where(F.col("size") <= F.col("small")), rest)
+    rest = stored(wanted.join(met, "source", "left").withColumn("rest", F.col("wanted_all") - F.coalesce("met", F.lit(0))).drop("met"), "mix-rest")
+    second = _placed(rows.where(~is_large)).join(hold(rest), "source")
+    times = F.floor((F.col("rest") - middle) / F.greatest("little", F.lit(1))) + 1
+    second = second.withColumn("extra", F.least(F.floor("room"), F.greatest(times, F.lit(0))).cast("long")).drop("rest")
     copies = F.floor("rate") + F.when(F.col("fraction") > 0, F.col("extra")).otherwise(0)
     both = first.unionByName(second)
     return both.select("id", "size", F.col("label").alias("source"), F.col("total").alias("source_size"), "target", "rate", copies.cast("long").alias("copies"), "row")
