@@ -1,6 +1,7 @@
 """An n-gram language model over a whole corpus, in Elias-Fano tries that workers map into memory.
 
-Words are numbered by the order of their 64-bit hashes. Counts are made in two passes: words, then n-grams of every order up
+Words are numbered by the order of their 64-bit hashes, and each has a second hash of 64 bits: where two words of a corpus meet
+in the first one, all are hashed again from another seed, and a word that was not learned is known by its second hash. Counts are made in two passes: words, then n-grams of every order up
 to ``order``, counted per block of text and dealt to shards by their first two words. A task per shard adds the counts up and
 writes one trie. Probabilities are hierarchical Dirichlet estimates,
 
@@ -19,12 +20,13 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ ORDER = 3
 MASS = (3000.0, 15.0)
 TOKENS_PER_SHARD = 1_000_000
 WORDS_PER_SHARD = 2_000_000
+#: Files that a worker keeps: mapped ones, and those that it had to read.
+KEPT_FILES = (4096, 16)
 #: Tokens that a task counts or scores at a time.
 BLOCK = 600_000
 #: The hash of an end: that of no bytes.
@@ -47,56 +51,75 @@ END = 0
 CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE = 0x9E3779B97F4A7C15
+#: Longer words are hashed one by one: polynomials modulo a power of two meet for some long words, whatever the base.
+LONG = 64
+SEEDS = 8
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64, for i below n."""
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A base ** i and its inverse, modulo 2 ** 64, for i below n."""
+    base = xxhash.xxh64_intdigest(b"base", seed) | 1
     out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n, b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all texts' words between ASCII white space, A-Z lower-cased, each text's end as END; tokens per text.
+class Hashed:
+    """The tokens of some texts: ``whole`` has 64-bit hashes of all words between ASCII white space, A-Z lower-cased, each
+    text's end as END; ``sizes`` the tokens per text.
 
     A word's hash is a polynomial of its bytes, taken from running sums, so no word becomes an object.
     """
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    space = SPACE[data]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edges = np.concatenate([[0], edges])
-    start, end = edges[0::2], edges[1::2]
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        last = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK)))
-        first, stop = int(start[at]), int(end[last - 1])
-        size = stop - first
-        up, down = _powers(1 << max(20, size.bit_length()))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-        s, e = start[at:last] - first, end[at:last] - first
-        out[at:last] = (sums[e] - sums[s]) * down[s]
-        at = last
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    words = np.diff(np.searchsorted(start, bounds), prepend=0)
-    if len(texts):
-        words[0] = int(np.searchsorted(start, bounds[0]))
-    sizes = words + 1
-    whole = np.full(int(sizes.sum()), END, np.uint64)
-    keep = np.ones(len(whole), bool)
-    keep[np.cumsum(sizes) - 1] = False
-    whole[keep] = out
-    return whole, sizes
+
+    def __init__(self, texts: list[bytes], seed: int):
+        self.bytes = b"\n".join(texts).lower() + b"\n"
+        data = np.frombuffer(self.bytes, np.uint8)
+        space = SPACE[data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.concatenate([[0], edges])
+        self.start, self.end = start, end = edges[0::2], edges[1::2]
+        out = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            last = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK)))
+            first, stop = int(start[at]), int(end[last - 1])
+            size = stop - first
+            up, down = _powers(1 << max(20, size.bit_length()), seed)
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+            s, e = start[at:last] - first, end[at:last] - first
+            out[at:last] = (sums[e] - sums[s]) * down[s]
+            at = last
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.bytes[start[i] : end[i]], seed)
+        bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        words = np.diff(np.searchsorted(start, bounds), prepend=0)
+        if len(texts):
+            words[0] = int(np.searchsorted(start, bounds[0]))
+        self.sizes = words + 1
+        self.whole = np.full(int(self.sizes.sum()), END, np.uint64)
+        self.ends = np.cumsum(self.sizes) - 1
+        keep = np.ones(len(self.whole), bool)
+        keep[self.ends] = False
+        self.whole[keep] = out
+
+    def distinct(self, inverse: bool = False, counts: bool = False) -> tuple[np.ndarray, ...]:
+        """Distinct hashes, the second hash of a word with each, and what np.unique gives besides."""
+        found, first, *more = np.unique(self.whole, return_index=True, return_inverse=inverse, return_counts=counts)
+        checks, digest, data = np.zeros(len(found), np.uint64), xxhash.xxh64_intdigest, self.bytes
+        words = first - np.searchsorted(self.ends, first)
+        is_word = np.flatnonzero(self.ends[np.minimum(np.searchsorted(self.ends, first), len(self.ends) - 1)] != first)
+        places = words[is_word]
+        checks[is_word] = np.fromiter((digest(data[a:b], 0) for a, b in zip(self.start[places].tolist(), self.end[places].tolist(), strict=True)), np.uint64, len(places))
+        return found, checks, *more
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -118,15 +141,34 @@ def read_file(uri: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
-@lru_cache(maxsize=4096)
-def load_trie(uri: str) -> Trie:
-    return Trie.from_buffer(read_file(uri))
+def _read_trie(uri: str) -> Trie | None:
+    try:
+        return Trie.from_buffer(read_file(uri))
+    except FileNotFoundError:
+        return None
+
+
+def _read_words(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = read_file(uri).reshape(3, -1)
+    return raw[0].view(np.uint64), raw[1].view(np.uint64), raw[2].view(np.int64)
+
+
+_TRIES = [lru_cache(n)(_read_trie) for n in KEPT_FILES]
+_WORDS = [lru_cache(n)(_read_words) for n in KEPT_FILES]
+
+
+def _is_mapped(uri: str) -> bool:
+    return uri.startswith(("file:", "/"))
+
+
+def load_trie(uri: str) -> Trie | None:
+    """None where no gram fell to the shard."""
+    return _TRIES[0 if _is_mapped(uri) else 1](uri)
 
 
-@lru_cache(maxsize=4096)
-def load_words(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = read_file(uri)
-    return raw[: len(raw) // 2].view(np.uint64), raw[len(raw) // 2 :].view(np.int64)
+def load_words(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, second hashes and counts."""
+    return _WORDS[0 if _is_mapped(uri) else 1](uri)
 
 
 @dataclass
@@ -138,28 +180,29 @@ class Vocabulary:
     bases: list[int]
     tokens: int
     distinct: int
+    seed: int = 0
 
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: unknown) and counts of hashed words."""
+    def lookup(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: unknown) and counts of words by both of their hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes)
         cuts = np.searchsorted(hashes[order], np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else []
         for shard, at in enumerate(np.split(order, cuts)):
             if not len(at) or self.bases[shard] == self.bases[shard + 1]:
                 continue
-            known, count = load_words(f"{self.folder}/words-{shard}")
+            known, second, count = load_words(f"{self.folder}/words-{shard}")
             place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-            ok = known[place] == hashes[at]
+            ok = (known[place] == hashes[at]) & (second[place] == checks[at])
             ids[at[ok]] = place[ok] + self.bases[shard]
             counts[at[ok]] = count[place[ok]]
         return ids, counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers and counts of all tokens, the end of each text included, and the number of tokens of each text."""
-        hashes, sizes = hashed(texts)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts = self.lookup(distinct)
-        return ids[back], counts[back], sizes
+        found = Hashed(texts, self.seed)
+        distinct, checks, back = found.distinct(inverse=True)
+        ids, counts = self.lookup(distinct, checks)
+        return ids[back], counts[back], found.sizes
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -177,36 +220,46 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iter
         yield ids, texts
 
 
-def _vocabulary(texts: DataFrame, folder: str) -> Vocabulary:
-    """``texts`` (id, text) to a vocabulary of its words and ends."""
+def _words(texts: DataFrame, seed: int) -> DataFrame:
+    """(h, c, g, g2): words by their hash under a seed with counts, and the least and the greatest second hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 1, BLOCK):
-            found, counts = np.unique(hashed(block)[0], return_counts=True)
-            hashes = found.view(np.int64)
-            for at in range(0, len(hashes), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + (1 << 17)]), pa.array(counts[at : at + (1 << 17)])], ["h", "c"])
+            found, checks, counts = Hashed(block, seed).distinct(counts=True)
+            columns = [found.view(np.int64), counts, checks.view(np.int64)]
+            for at in range(0, len(found), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in columns], ["h", "c", "g"])
+
+    return stored(texts.mapInArrow(count, "h long, c long, g long").groupBy("h").agg(F.sum("c").alias("c"), F.min("g").alias("g"), F.max("g").alias("g2")), "words")
 
-    words = stored(texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+
+def _vocabulary(texts: DataFrame, folder: str) -> Vocabulary:
+    """``texts`` (id, text) to a vocabulary of its words and ends."""
+    for seed in range(SEEDS):
+        words = _words(texts, seed)
+        total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("g") != F.col("g2"), 1)).alias("met")).first()
+        if not total["met"]:
+            break
+    else:
+        raise RuntimeError(f"different words have one hash under each of {SEEDS} seeds")
     bits = max(0, (total["v"] // WORDS_PER_SHARD).bit_length())
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            shards, h, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            shards, *columns = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             for s in np.unique(shards).tolist():
-                held.setdefault(s, []).append((h[shards == s], c[shards == s]))
+                held.setdefault(s, []).append([x[shards == s] for x in columns])
         for s, parts in held.items():
-            h, c = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            h, g, c = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
             order = np.argsort(h.view(np.uint64))
-            write_file(f"{folder}/words-{s}", h[order].tobytes() + c[order].astype(np.int64).tobytes())
+            write_file(f"{folder}/words-{s}", b"".join(x[order].tobytes() for x in (h, g, c)))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(h)], pa.int64())], ["shard", "n"])
 
-    sizes = {r["shard"]: r["n"] for r in words.select(shard.alias("shard"), "h", "c").repartition(1 << bits, "shard").mapInArrow(write, "shard int, n long").collect()}
+    sizes = {r["shard"]: r["n"] for r in words.select(shard.alias("shard"), "h", "g", "c").repartition(1 << bits, "shard").mapInArrow(write, "shard int, n long").collect()}
     bases = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << bits)])]).tolist()
-    return Vocabulary(folder, bits, bases, total["n"], total["v"])
+    return Vocabulary(folder, bits, bases, total["n"], total["v"], seed)
 
 
 def shard_of(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
@@ -319,7 +372,6 @@ class Model:
     mass: tuple[float, ...]
     shards: int
     ends: int
-    there: set[int] = field(default_factory=set)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.vocabulary.tokens + self.vocabulary.distinct + 1)
@@ -334,8 +386,7 @@ class Model:
         shard = np.where(pair >= 0, shard_of(a, b, self.shards), -1)
         node = np.full(len(pair), -1, np.int64)
         alpha = np.zeros(len(pair))
-        for s, at in self._by_shard(shard):
-            trie = load_trie(f"{self.folder}/trie-{s}")
+        for _, trie, at in self._by_shard(shard):
             node[at] = trie.child(0, trie.root(a[at]), b[at])
             alpha[at] = trie.p(0, node[at])
         before = np.roll(counts, 1)
@@ -351,8 +402,7 @@ class Model:
             of[first], above[first] = self._begin_node(n - 1)
             node, shard = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
             alpha, weight = np.zeros(len(ids)), np.ones(len(ids))
-            for s, at in self._by_shard(np.where(above >= 0, of, -1)):
-                trie = load_trie(f"{self.folder}/trie-{s}")
+            for s, trie, at in self._by_shard(np.where(above >= 0, of, -1)):
                 at = at[np.argsort(above[at])]  # neighbours in the trie are looked up together
                 up = above[at]
                 node[at] = found = trie.child(n - 2, np.where(ids[at] >= 0, up, -1), ids[at])
@@ -367,23 +417,24 @@ class Model:
         """Shard and node of n begins; a single begin is a first word and has none."""
         begin = np.array([self.vocabulary.distinct])
         s = int(shard_of(begin, begin, self.shards)[0])
-        if s not in self.there:
-            return -1, -1
         trie = load_trie(f"{self.folder}/trie-{s}")
+        if trie is None:
+            return -1, -1
         node = trie.root(begin)
         for level in range(n - 1):
             node = trie.child(level, node, begin)
         return (s, int(node[0])) if node[0] >= 0 else (-1, -1)
 
-    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, Trie, np.ndarray]]:
+        """Shards that occur and have grams, their tries, and where they occur."""
         if self.shards < 1 << 15:
             shard = shard.astype(np.int16)  # sorted by digits
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:
             s = int(shard[at[0]])
-            if s in self.there:
-                yield s, at
+            if s >= 0 and (trie := load_trie(f"{self.folder}/trie-{s}")) is not None:
+                yield s, trie, at
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base-10 logarithms of the base's and the model's probability."""
@@ -406,7 +457,7 @@ def train(df: DataFrame, text_col: str, learn: Column | None = None, order: int
     if vocabulary.distinct >= 1 << 31:
         raise ValueError("the vocabulary has more words than the tries' keys hold")
     shards = max(1, -(-vocabulary.tokens // TOKENS_PER_SHARD))
-    _, (ends,) = vocabulary.lookup(np.array([END], np.uint64))
+    _, (ends,) = vocabulary.lookup(np.array([END], np.uint64), np.zeros(1, np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 1, BLOCK):
@@ -429,7 +480,7 @@ def train(df: DataFrame, text_col: str, learn: Column | None = None, order: int
         of = np.searchsorted(bases, roots[known], "right") - 1
         values = np.zeros(len(of), np.int64)
         for s in np.unique(of).tolist():
-            values[of == s] = load_words(f"{folder}/words-{s}")[1][roots[known][of == s] - bases[s]]
+            values[of == s] = load_words(f"{folder}/words-{s}")[2][roots[known][of == s] - bases[s]]
         out[known] = values
         return out
 
@@ -454,8 +505,8 @@ def train(df: DataFrame, text_col: str, learn: Column | None = None, order: int
 
     partitions = min(shards, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
     dealt = texts.mapInArrow(count, "shard int, n int, grams binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    there = {r["shard"] for r in dealt.mapInArrow(build, "shard int, n long").collect()}
-    return Model(vocabulary, folder, order, mass, shards, int(ends), there)
+    dealt.mapInArrow(build, "shard int, n long").agg(F.sum("n")).first()  # writes the tries; nothing of them comes to the driver
+    return Model(vocabulary, folder, order, mass, shards, int(ends))
 
 
 def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from arborql.llm import ngrams, queries
 from arborql.llm.trie import EliasFano, Trie
@@ -76,11 +77,17 @@ def test_hashes_tell_words_apart(monkeypatch):
     monkeypatch.setattr(ngrams, "CHUNK", 50)
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["a", "b", "ab", "ba", "Ab", "x" * 70, "é", "aa", "aaa"], k=rng.randint(0, 40))).replace(" ", rng.choice([" ", "\n\t "])).encode() for _ in range(50)] + [b"", b"  ", b"\x00", b"y" * 3_000_000]
-    hashes, sizes = ngrams.hashed(texts)
+    morse = [bytes(97 + (i.bit_count() + flip) % 2 for i in range(2048)) for flip in (0, 1)]  # polynomials modulo 2^64 don't tell these apart
+    texts += [morse[0], morse[1] + b" " + morse[0].upper()]
+    found = ngrams.Hashed(texts, 3)
+    hashes, sizes = found.whole, found.sizes
     words = [w for t in texts for w in [*t.lower().split(), b""]]
     assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(hashes) == len(words)
     assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
-    assert ngrams.hashed([])[1].tolist() == []
+    values, checks, back, counts = found.distinct(inverse=True, counts=True)
+    assert [checks[i] for i in back] == [xxhash.xxh64_intdigest(w, 0) if w else 0 for w in words]
+    assert counts.tolist() == [Counter(hashes.tolist())[v] for v in values.tolist()]
+    assert ngrams.Hashed([], 0).sizes.tolist() == [] and len(ngrams.Hashed([], 0).distinct()[0]) == 0
 
 
 def test_a_trie_survives_its_file():
