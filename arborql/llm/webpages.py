@@ -5,7 +5,9 @@
 2. Votes are summed per host and path in Spark (partial sums first, so a host with a third of all pages is no burden), and
    each host keeps the paths with a share of the votes, but none that leads to a path with more.
 3. Every page is read again: its text is that of the nodes on the best of its host's paths that the page has, or else of its
-   own best container. Boilerplate inside the container (menus, adverts, forms, comments, ...) is left out.
+   own best container. Boilerplate inside the container (menus, adverts, forms, comments, ...) is left out. Parts whose class
+   or id may as well name a part of an article ("discussion", "popular", ...) stay unless they are mostly links or their text
+   recurs on a fifth of their host's different pages.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +34,17 @@ CONTAINERS = set("article body center div main section td".split())
 NEVER = set("script style noscript template iframe object embed svg canvas audio video button select option textarea input label head title nav footer aside form menu dialog noembed noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = set("ul ol dl table body html div article section main blockquote".split())
-#: Words in a class or id that tell boilerplate.
+#: Words in a class or id that tell boilerplate wherever they stand.
 BOILERPLATE = re.compile(
-    r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|newsletters?|subscribe|subscription|signup|login|popups?|modals?|overlay|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toolbar|sidebars?|aside|rail|widgets?|footer|masthead|site-?header|topbar|skip|"
-    r"comments?|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|recommendations|trending|popular|tags?|tagcloud|toc|metadata|byline-share)$",
+    r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|newsletters?|subscribe|subscription|signup|login|popups?|modals?|"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toolbar|sidebars?|widgets?|footer|masthead|site-?header|topbar|"
+    r"comments?|replies|respond|disqus|share|sharing|tagcloud)$",
     re.I,
 )
+#: Words that may as well name a part of an article: they count only with evidence, see ``doubtful``.
+DOUBTFUL = re.compile(r"^(?:notices?|alerts?|overlay|aside|rail|skip|reply|discussion|social|related|recommended|recommendations|trending|popular|tags?|toc|metadata|byline-share)$", re.I)
+#: A doubtful part goes if so much of its text is in links, or if its text recurs on so many of its host's different pages.
+LINKS, RECURS, PAGES = 0.5, 0.2, 3
 #: The least share of its host's votes with which a path is kept, so at most 20 are.
 SHARE = 0.05
 #: So many hosts' paths (under 1 KB each) are broadcast at most; beyond it they are joined.
@@ -45,10 +52,10 @@ BROADCAST_HOSTS = 20_000
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "parent", "skip")
+    __slots__ = ("tag", "label", "kids", "parent", "skip", "doubt")
 
-    def __init__(self, tag: str, label: str = "", parent: Node | None = None, skip: bool = False):
-        self.tag, self.label, self.kids, self.parent, self.skip = tag, label, [], parent, skip
+    def __init__(self, tag: str, label: str = "", parent: Node | None = None, skip: bool = False, doubt: bool = False):
+        self.tag, self.label, self.kids, self.parent, self.skip, self.doubt = tag, label, [], parent, skip, doubt
 
 
 def _words(value: str) -> list[str]:
@@ -57,6 +64,7 @@ def _words(value: str) -> list[str]:
 
 def _node(tag: str, attributes: str, parent: Node) -> Node:
     classes: list[str] = []
+    doubt = False
     skip = tag in NEVER or tag == "header" and not _within(parent, "article") and not _within(parent, "main")
     if attributes and attributes != "/":
         for m in ATTRIBUTE.finditer(attributes):
@@ -66,11 +74,12 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
             if name in ("class", "id", "role", "aria-label") and tag not in ("body", "html", "article", "main"):
                 for word in value.split():
                     parts = [word, *re.split(r"[-_]+", word)]
-                    if BOILERPLATE.match(word) or len(parts) <= 4 and any(BOILERPLATE.match(x) for x in parts):
-                        skip = True
+                    parts = parts if len(parts) <= 4 else parts[:1]
+                    skip = skip or any(map(BOILERPLATE.match, parts))
+                    doubt = doubt or any(map(DOUBTFUL.match, parts))
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 skip = True
-    return Node(tag, ".".join([tag, *classes]) if tag != "body" else tag, parent, skip)
+    return Node(tag, ".".join([tag, *classes]) if tag != "body" else tag, parent, skip, doubt)
 
 
 def _within(node: Node | None, tag: str) -> bool:
@@ -226,19 +235,56 @@ def nodes_on(root: Node, path: str) -> list[Node]:
     return level
 
 
-def votes(source: str | None) -> list[tuple[str, float]]:
-    return [(path_of(n), 1.0) for _, n in scores(parse(source or ""))[:1]]
+def best(root: Node) -> Node | None:
+    """The container with the best score, or the article that it's a part of: its title may stand outside that part."""
+    for _, node in scores(root)[:1]:
+        up = node
+        while up is not None and up.tag != "article":
+            up = up.parent
+        return up if up is not None and not up.skip else node
+    return None
+
+
+def doubtful(root: Node) -> list[tuple[Node, str, bool]]:
+    """The outermost nodes below ``root`` whose name leaves it open whether they are boilerplate: the node, a name for its text,
+    and whether most of it is links."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.doubt:
+            stack.extend(k for k in reversed(node.kids) if not isinstance(k, str) and not k.skip)
+            continue
+        total = links = 0
+        inside: list[tuple[Node, bool]] = [(node, node.tag == "a")]
+        while inside:
+            at, link = inside.pop()
+            own = sum(len(k.strip()) for k in at.kids if isinstance(k, str))
+            total, links = total + own, links + own * link
+            inside.extend((k, link or k.tag == "a") for k in at.kids if not isinstance(k, str) and not k.skip)
+        found.append((node, f"~{xxhash.xxh64_hexdigest(chr(10).join(blocks(node)).encode('utf-8', 'surrogatepass'))}", links >= LINKS * total))
+    return found
+
+
+def votes(source: str | None) -> list[tuple[str, int]]:
+    """(path, 0) of the best container; (name, page) of each text whose part is doubtful, ``page`` telling different pages apart."""
+    root = parse(source or "")
+    node = best(root)
+    if node is None:
+        return []
+    page = xxhash.xxh64_intdigest("\n".join(blocks(node)).encode("utf-8", "surrogatepass")) >> 1
+    return [(path_of(node), 0), *((name, page) for _, name, linked in doubtful(node) if not linked)]
 
 
-def read(source: str | None, paths: list[str]) -> tuple[str, str]:
+def read(source: str | None, paths: list[str], recurring: list[str] | None = None) -> tuple[str, str]:
     """The main text, and the path that it was read by (empty: none)."""
     root = parse(source or "")
+    for node, name, linked in doubtful(root):
+        node.skip = linked or name in (recurring or ())
     for path in paths:
         if path and (text := "\n".join(b for node in nodes_on(root, path) for b in blocks(node))):
             return text, path
-    for _, node in scores(root)[:1]:
-        return "\n".join(blocks(node)), path_of(node)
-    return "\n".join(blocks(root)), ""
+    node = best(root)
+    return ("\n".join(blocks(root)), "") if node is None else ("\n".join(blocks(node)), path_of(node))
 
 
 def host_of(url):
@@ -248,21 +294,25 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, paths): the paths with the most votes of each host, best first."""
+    """(host, paths, recurring): the paths with the most votes of each host, best first, and the names of doubtful texts that
+    recur on its pages. Both are shares of a host's pages, so their number is bounded however many pages it has."""
     rows = pages.select(host_of(pages[url_col]).alias("host"), pages[html_col].cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [(h, p, v) for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, v in votes(source)]
+            found = [(h, p, page) for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, page in votes(source)]
             columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["host", "path", "votes"])
-
-    cast = rows.mapInArrow(run, "host string, path string, votes double")
-    summed = cast.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    shares = summed.withColumn("share", F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))).where(F.col("share") >= SHARE)
-    ranked = shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))), lambda x: x["path"]).alias("all"))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "path", "page"])
+
+    is_path = ~F.startswith("path", F.lit("~"))
+    cast = rows.mapInArrow(run, "host string, path string, page long").groupBy("host", "path", "page").agg(F.count("*").alias("n"))
+    summed = cast.groupBy("host", "path").agg(F.sum(F.when(is_path, F.col("n")).otherwise(1)).alias("votes"))
+    all_ = F.sum(F.when(is_path, F.col("votes"))).over(Window.partitionBy("host"))
+    shares = summed.withColumn("all", all_).where(F.when(is_path, F.col("votes") >= SHARE * F.col("all")).otherwise((F.col("votes") >= RECURS * F.col("all")) & (F.col("votes") >= PAGES)))
+    vote = F.when(is_path, F.struct((-F.col("votes")).alias("rank"), "path"))
+    ranked = shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(vote)), lambda x: x["path"]).alias("all"), F.collect_list(F.when(~is_path, F.col("path"))).alias("recurring"))
     below = lambda x, i: F.exists(F.slice("all", F.lit(1), i), lambda y: F.startswith(y, F.concat(x, F.lit(">"))))
-    return ranked.select("host", F.filter("all", lambda x, i: ~below(x, i)).alias("paths"))
+    return ranked.select("host", F.filter("all", lambda x, i: ~below(x, i)).alias("paths"), "recurring")
 
 
 def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -274,11 +324,11 @@ def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
     paths = stored(host_paths(pages, url_col, html_col), "host-paths").withColumnRenamed("host", "h")
     held = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(held, F.col("host") == F.col("h"), "left").select("id", "url", "html", "paths")
+    joined = rows.withColumn("host", host_of(F.col("url"))).join(held, F.col("host") == F.col("h"), "left").select("id", "url", "html", "paths", "recurring")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [read(source, p or []) for source, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [read(source, p or [], r) for source, p, r in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["id", "url", "text", "path"])
 
     return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, path string")
