@@ -93,6 +93,47 @@ def sheets(spark: SparkSession, d: str) -> DataFrame:
     return documents(t, "s_suppkey", text, "css")
 
 
+def go_code(spark: SparkSession, d: str) -> DataFrame:
+    """A part as a Go function that locks, compares and returns."""
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(
+        F.lit("package p\n\nfunc F"), F.col("p_partkey").cast("string"), F.lit("(err error) int {\n\tfmt.Println(\""), F.col("p_brand"), F.lit("\", "), size.cast("string"), F.lit(")\n\tmu.Lock()\n"),
+        F.when(size % 2 == 0, "\tdefer mu.Unlock() // as it should be\n").otherwise("\twork()\n"), F.lit("\tok := a"), (size % 3).cast("string"), F.when(size % 5 == 0, " - a").otherwise(" <= a"), (size % 2).cast("string"),
+        F.lit("\n\tif err == nil {\n\t\treturn err\n\t}\n\treturn ok\n}\n"),
+    )
+    return documents(t, "p_partkey", text, "go")
+
+
+def python_code(spark: SparkSession, d: str) -> DataFrame:
+    """A part as a Python function with a default, a comparison and a handler."""
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(
+        F.lit("def f(a, b="), F.when(size % 3 == 0, "[]").when(size % 3 == 1, "{}").otherwise("None"), F.lit("):\n    # "), F.col("p_name"), F.lit("\n    if a"), (size % 4).cast("string"), F.when(size % 2 == 0, " == ").otherwise(" is "),
+        F.lit("None:\n        print(f'{a}', "), size.cast("string"), F.lit(")\n    try:\n        g()\n    except"), F.when(size % 5 == 0, "").otherwise(" ValueError"), F.lit(":\n        pass\n    return a\n"),
+    )
+    return documents(t, "p_partkey", text, "python")
+
+
+def script_code(spark: SparkSession, d: str) -> DataFrame:
+    """A part as a TypeScript function with types, a template and an arrow."""
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(
+        F.lit("export function f(a: number, b?: string | null) {\n  var x = "), size.cast("string"), F.lit(";\n  if (a "), F.when(size % 2 == 0, "==").otherwise("==="), F.lit(" x) {\n    console."), F.when(size % 3 == 0, "log").otherwise("error"),
+        F.lit("(`"), F.col("p_brand"), F.lit(": ${x}`);\n  }\n  return b! + [1].map((y) => y / x)\n}\n"),
+    )
+    return documents(t, "p_partkey", text, "typescript")
+
+
+def mixed_code(spark: SparkSession, d: str) -> DataFrame:
+    """A part as a call in one of three languages, or as JSON."""
+    t, kind = _table(spark, d, "part"), F.col("p_partkey") % 4
+    by = lambda *x: F.when(kind == 0, x[0]).when(kind == 1, x[1]).when(kind == 2, x[2]).otherwise(x[3])
+    n = F.col("p_size").cast("string")
+    text = by(F.concat(F.lit("package p\nfunc f() { show("), n, F.lit(") }\n")), F.concat(F.lit("show("), n, F.lit(")\n")), F.concat(F.lit("show("), n, F.lit(");")), F.concat(F.lit('{"show": '), n, F.lit("}")))
+    lang = by(F.lit("go"), F.lit("python"), F.lit("tsx"), F.lit("json"))
+    return t.select(F.col("p_partkey").cast("long").alias("file_id"), F.concat(lang, F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), lang.alias("lang"), text.alias("src"))
+
+
 # -- queries ---------------------------------------------------------------------------------------------------------
 
 
@@ -213,6 +254,19 @@ CHECKS: dict[str, tuple] = {
 
 
 CHECKS |= {
+    "go_call": (go_code, "rule r { in go pattern { fmt.$M($S, $N) } }", captured("M", "S", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'Println' AS m, '\"' || p_brand || '\"' AS s, CAST(p_size AS VARCHAR) AS n FROM part"),
+    "go_operator": (go_code, "rule r { in go pattern { $X $OP $X } }", captured("X", "OP"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'a' || CAST(p_size % 2 AS VARCHAR) AS x, CASE WHEN p_size % 5 = 0 THEN '-' ELSE '<=' END AS op FROM part WHERE p_size % 3 = p_size % 2"),
+    "go_not_followed": (go_code, "rule r { in go pattern { $MU.Lock() } not directly follows pattern { defer $MU.Unlock() } }", {"line": "startLine"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 5 AS line FROM part WHERE p_size % 2 = 1"),
+    "go_inside": (go_code, 'rule r { in go pattern { return $E } inside any { pattern { if $E == nil { $$$ } } pattern { if $_ := $_; $E == nil { $$$ } } } where $E matches "(?i)^ERR" }', captured("E"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'err' AS e FROM part"),
+    "go_query": (go_code, 'rule r { in go query "(function_declaration name: (identifier) @N) @match" where $match lines > 9 report $N }', {"snippet": "snippet"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'F' || CAST(p_partkey AS VARCHAR) AS snippet FROM part"),
+    "python_default": (python_code, 'rule r { in python query "(default_parameter value: [(list) (dictionary)]) @match" }', {"snippet": "snippet"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_size % 3 WHEN 0 THEN 'b=[]' ELSE 'b={}' END AS snippet FROM part WHERE p_size % 3 < 2"),
+    "python_none": (python_code, 'rule r { in python pattern { $X == None } where $X kind identifier fix "$X is None" }', {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'a' || CAST(p_size % 4 AS VARCHAR) || ' is None' AS fix FROM part WHERE p_size % 2 = 0"),
+    "python_handler": (python_code, "rule r { in python pattern {\ntry:\n    $$$B\nexcept:\n    $$$H\n} inside pattern {\ndef $F($$$P):\n    $$$S\n} where $P count == 2 }", captured("B", "F", "P"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'g()' AS b, 'f' AS f, 'a, b=' || CASE p_size % 3 WHEN 0 THEN '[]' WHEN 1 THEN '{}' ELSE 'None' END AS p FROM part WHERE p_size % 5 = 0"),
+    "script_console": (script_code, "rule r { in ts pattern { console.$M($A) } where $M in [log, debug] inside pattern { if ($C) { $$$ } } }", captured("A", "C"), "SELECT CAST(p_partkey AS BIGINT) AS id, '`' || p_brand || ': ${x}`' AS a, 'a ' || CASE p_size % 2 WHEN 0 THEN '==' ELSE '===' END || ' x' AS c FROM part WHERE p_size % 3 = 0"),
+    "script_equals": (script_code, 'rule r { in typescript pattern { $A == $B } fix "$A === $B" }', {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'a === x' AS fix FROM part WHERE p_size % 2 = 0"),
+    "script_var": (script_code, 'rule r { in ts pattern { var $N = $V; } where $V > 25 inside pattern { function $F($$$P) { $$$ } } where $P count == 2 }', captured("N", "V"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'x' AS n, CAST(p_size AS VARCHAR) AS v FROM part WHERE p_size > 25"),
+    "script_non_null": (script_code, "rule r { in ts pattern { $X! } }", captured("X"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'b' AS x FROM part"),
+    "any_language": (mixed_code, "rule r { pattern { show($N) } }", captured("N") | {"folder": "substring_index(file, '/', 1)"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS VARCHAR) AS n, CASE p_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'tsx' END AS folder FROM part WHERE p_partkey % 4 < 3"),
     "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "empty_node": (brackets, 'rule r { in json pattern { "v": [] } }', {"snippet": "snippet"}, "SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 3 WHEN 0 THEN '\"v\": []' ELSE '\"v\": [ ]' END AS snippet FROM customer WHERE c_custkey % 3 < 2"),

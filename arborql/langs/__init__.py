@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from . import css, json_, markup, yaml_
+from . import css, go, json_, markup, python_, script, yaml_
 from .tree import Syn
 
 
@@ -14,7 +14,7 @@ from .tree import Syn
 class Language:
     """``literals`` are compared by text, ``folded`` kinds without case. ``meta_in_strings``: $X counts between quotes;
     ``quote_bare``: outside it is quoted; ``tag_variadics``: $$$ in a tag becomes an attribute; ``upper_only``: $x is the
-    language's own. ``around``: what a fragment may be wrapped in to parse. ``joint`` stands in names of stand-ins."""
+    language's own. ``interpolations``: a literal with one of these is compared part by part. ``around``: what a fragment may be wrapped in to parse. ``joint`` stands in names of stand-ins."""
 
     name: str
     aliases: tuple[str, ...]
@@ -24,6 +24,7 @@ class Language:
     comments: frozenset[str] = frozenset()
     transparent: frozenset[str] = frozenset()
     folded: frozenset[str] = frozenset()
+    interpolations: frozenset[str] = frozenset()
     around: tuple[tuple[str, str], ...] = ()
     explicit: bool = False
     meta_in_strings: bool = False
@@ -63,6 +64,10 @@ ITEMS = _kinds(
 START_TAGS = _kinds("start_tag STag EmptyElemTag")
 
 LANGUAGES = (
+    Language("go", ("golang",), (".go",), go.parse, _kinds("int_literal float_literal imaginary_literal rune_literal interpreted_string_literal raw_string_literal true false nil"), _kinds("comment"), around=(("package p\nfunc _() {\n", "\n}"), ("package p\nvar _ = ", ""))),
+    Language("python", ("py",), (".py", ".pyi"), python_.parse, _kinds("integer float string true false none"), _kinds("comment"), around=(("_ = ", ""),), interpolations=_kinds("interpolation")),
+    Language("typescript", ("ts",), (".ts", ".mts", ".cts"), script.parse, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
+    Language("tsx", ("javascript", "js", "jsx"), (".tsx", ".js", ".jsx", ".mjs", ".cjs"), script.parse_jsx, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("html", (), (".html", ".htm"), markup.parse_html, _kinds("attribute_value quoted_attribute_value text raw_text"), _kinds("comment"), folded=_kinds("tag_name attribute_name"), around=(("<qz-x ", ">"),), explicit=True, meta_in_strings=True, missing_ok=True, joint="-"),
     Language("css", (), (".css",), css.parse, _kinds("string_value integer_value float_value color_value"), _kinds("comment"), around=(("a {\n", "\n}"),), explicit=True, meta_in_strings=True),
     Language("scss", (), (".scss",), css.parse_scss, _kinds("string_value integer_value float_value color_value"), _kinds("comment js_comment"), around=(("a {\n", "\n}"),), explicit=True, meta_in_strings=True, upper_only=True),
@@ -74,8 +79,8 @@ LANGUAGES = (
 KNOWN_ONLY = tuple(
     Language(name, tuple(a.split()), tuple(e.split()))
     for name, a, e in (
-        ("go", "golang", ".go"), ("python", "py", ".py .pyi"), ("java", "", ".java"), ("csharp", "cs c#", ".cs"), ("c", "", ".c .h"), ("cpp", "c++ cc", ".cpp .cxx .cc .hpp .hxx .hh"), ("rust", "rs", ".rs"),
-        ("kotlin", "kt kts", ".kt .kts"), ("swift", "", ".swift"), ("typescript", "ts", ".ts .mts .cts"), ("tsx", "javascript js jsx", ".tsx .js .jsx .mjs .cjs"),
+        ("java", "", ".java"), ("csharp", "cs c#", ".cs"), ("c", "", ".c .h"), ("cpp", "c++ cc", ".cpp .cxx .cc .hpp .hxx .hh"), ("rust", "rs", ".rs"),
+        ("kotlin", "kt kts", ".kt .kts"), ("swift", "", ".swift"),
     )
 )
 BY_NAME = {n: lang for lang in (*LANGUAGES, *KNOWN_ONLY) for n in (lang.name, *lang.aliases)}

@@ -10,6 +10,10 @@ from arborql.rules import RuleError
 from arborql.sources.nodes import rows_of
 
 SAMPLES = {
+    "go": 'package p // c\n\nimport (\n\t"fmt"\n\te "é"\n)\n\ntype S[T any] struct {\n\ta, b int `x`\n\tT\n}\n\nfunc (s *S[int]) M(f func(int) error, xs ...map[string][]T) (n int, err error) {\n\tfor i, x := range xs {\n\t\tgo func() { ch <- <-s.c }()\n\t}\n\tswitch v := x.(type) {\n\tcase nil, *T:\n\t\tx[1:2].y++\n\tdefault:\n\t\treturn S{a: 1, b: []int{2}}, &T{}\n\t}\n}\n',
+    "python": '# c\n@d.e(1)\nasync def f(a, /, *b: int, c=1, **k) -> "é":\n    """doc"""\n    x: int = y = [i for i in a if i]; z += 1\n    with open(f"{a!r:>{w}} {{}}") as g, h:\n        yield lambda q, *r: q if r else {**k, 1: 2}\n    try:\n        pass\n    except (A, B) as e:\n        raise E from e\n    finally:\n        return a[1:, ::2], not b is not c\nclass C(D, m=1):\n    def g(self): return "a" \'b\' if (w := 3) else await x\n',
+    "typescript": "// c\nimport a, { type b as c } from 'é';\nexport default class A<T extends B = {}> extends C<T> implements D {\n  private readonly x?: number = 1;\n  constructor(public y: string) { super(); }\n  get z(): Array<Map<string, T[]>> { return <any>this.x! as unknown }\n}\ntype F = (a: number, ...b: string[]) => a is string | `x${T}`;\ninterface I { [k: string]: F; m?(): void }\nenum E { A = 1, B }\nconst f = async <T,>(x: T, { y, ...z }: any = {}): Promise<T> => await x ?? z?.[0]?.(y) ;\nfor (const k of a) if (/[/]é/g.test(k)) continue; else break\n",
+    "tsx": "// c\nlet x = <A.B c='é' {...d} e>don't {f(<></>)}<g/></A.B>;\nx++\n`a${`b${c}`}é`;\nfunction* g() { yield* a ? b : c / d / e }\nlabel: do { try { throw x } catch { } finally { } } while (a, b)\nvar { p: [q = 1], r } = s, t = { u() { }, get v() { return 1 }, [w]: async () => ({}), x, ...y };\nswitch (a) { case 1: default: delete b.c }\n",
     "json": '// c\n{"a": [1, -2.5e3, "x\\n\\u0041", true], "ü": {}, "e": ""}',
     "html": "<!DOCTYPE html><!-- c --><p class=\"é\" id=x>Hi <b>x &amp; y<li>one<li>two<script>if (a<b) {}</script><br/><img src='a'></div>",
     "xml": '<?xml version="1.0"?><!-- c --><r a="1"><b/>é<![CDATA[x]]>&lt;<c>t</c></r>',
@@ -59,6 +63,11 @@ def kinds(name, source):
         ("html", "<a x>t</a>", "(document (element (start_tag (tag_name) (attribute (attribute_name))) (text) (end_tag (tag_name))))"),
         ("xml", "<a><b/></a>", "(document (element (STag (Name)) (content (element (EmptyElemTag (Name)))) (ETag (Name))))"),
         ("yaml", "a: 1\nb: x", "(stream (document (block_node (block_mapping (block_mapping_pair (flow_node (plain_scalar (string_scalar))) (flow_node (plain_scalar (integer_scalar)))) (block_mapping_pair (flow_node (plain_scalar (string_scalar))) (flow_node (plain_scalar (string_scalar))))))))"),
+        ("go", "package p\nvar a = f(x...)", "(source_file (package_clause (package_identifier)) (var_declaration (var_spec (identifier) (expression_list (call_expression (identifier) (argument_list (variadic_argument (identifier))))))))"),
+        ("go", "a.b = c[0]", "(source_file (assignment_statement (expression_list (selector_expression (identifier) (field_identifier))) (expression_list (index_expression (identifier) (int_literal)))))"),
+        ("python", "def f(a=1):\n  return a.b", "(module (function_definition (identifier) (parameters (default_parameter (identifier) (integer))) (block (return_statement (attribute (identifier) (identifier))))))"),
+        ("typescript", "let a: B[] = c as D", "(program (lexical_declaration (variable_declarator (identifier) (type_annotation (array_type (type_identifier))) (as_expression (identifier) (type_identifier)))))"),
+        ("tsx", "<a b={c}>d</a>", "(program (expression_statement (jsx_element (jsx_opening_element (identifier) (jsx_attribute (property_identifier) (jsx_expression (identifier)))) (jsx_text) (jsx_closing_element (identifier)))))"),
         ("css", ".a { b: 1px }", "(stylesheet (rule_set (selectors (class_selector (class_name (identifier)))) (block (declaration (property_name) (integer_value (unit))))))"),
     ],
 )
@@ -76,6 +85,8 @@ def test_deep_input_needs_no_deep_stack():
     ("name", "body", "want"),
     [
         ("json", '"k": $V', "(pair (string_content) (:) $V)"), ("json", "[$$$L]", "(array ([) $$$L (]))"), ("html", "<$_ $$$ style=$_ $$$>", "(start_tag (<) $_ $$$ (attribute (attribute_name) (=) $_) $$$ (>))"),
+        ("go", "$X $OP $X", "(binary_expression $X $OP $X)"), ("go", "f($A, $$$R)", "(call_expression (identifier) (argument_list (() $A $$$R ())))"), ("python", "$A $OP $B", "(comparison_operator $A $OP $B)"), ("typescript", "$X!", "(non_null_expression $X (!))"),
+        ("python", 'f"{x} y"', "(string (string_start) (interpolation ({) (identifier) (})) (string_content) (string_end))"), ("tsx", "<$T $$$>$$$C</$T>", "(jsx_element (jsx_opening_element (<) $T (jsx_attribute $$$) (>)) $$$C (jsx_closing_element (</) $T (>)))"),
         ("xml", "<s $$$A>$$$C</s>", "(element (STag (<) (Name) $$$A (>)) $$$C (ETag (</) (Name) (>)))"), ("yaml", "- $X", "(block_sequence_item (-) $X)"), ("css", "$P: $$$V !important", "(declaration $P (:) $$$V (important))"),
         ("xml", "<a/><b/>", "sequence of 2 nodes: (EmptyElemTag (<) (Name) (/>)) (EmptyElemTag (<) (Name) (/>))"), ("scss", "$x: $V", "(declaration (variable_name) (:) $V)"), ("html", "hello $X", "sequence of 2 nodes: (attribute (attribute_name)) (attribute $X)"),
     ],
@@ -84,7 +95,7 @@ def test_patterns(name, body, want):
     assert str(compile_pattern(body, language(name))) == want
 
 
-@pytest.mark.parametrize(("name", "body", "why"), [("html", "<p>hello $X</p>", "do not parse as standalone nodes"), ("css", ".b { $$$ }", "doesn't parse"), ("xml", '<a b="$$$X"/>', "inside quotes"), ("json", "$X", "alone"), ("json", '"a" $OP "b"', "parse"), ("go", "f()", "no parser")])
+@pytest.mark.parametrize(("name", "body", "why"), [("html", "<p>hello $X</p>", "do not parse as standalone nodes"), ("css", ".b { $$$ }", "doesn't parse"), ("xml", '<a b="$$$X"/>', "inside quotes"), ("json", "$X", "alone"), ("json", '"a" $OP "b"', "parse"), ("go", "f($OP)", "parse"), ("rust", "f()", "no parser")])
 def test_patterns_that_do_not_compile(name, body, why):
     with pytest.raises(RuleError, match=why):
         compile_pattern(body, language(name))
