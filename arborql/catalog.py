@@ -124,6 +124,24 @@ def script_code(spark: SparkSession, d: str) -> DataFrame:
     return documents(t, "p_partkey", text, "typescript")
 
 
+def java_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("class P { boolean f(String a) { try { if (a "), F.when(size % 2 == 0, "==").otherwise("!="), F.lit(' "'), F.col("p_brand"), F.lit('") return g('), size.cast("string"), F.lit("); } catch (Exception e) { "), F.when(size % 3 == 0, "").otherwise("log(e);"), F.lit(" } return false; } }\n"))
+    return documents(t, "p_partkey", text, "java")
+
+
+def c_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("#include <stdlib.h>\nint f(void) {\n  char *p = malloc("), size.cast("string"), F.lit(");\n  "), F.when(size % 2 == 0, "if (!p) return 1;").otherwise("use(p);"), F.lit("\n  return p->n"), F.when(size % 3 == 0, " == 0.5").otherwise(" + 1"), F.lit(";\n}\n"))
+    return documents(t, "p_partkey", text, "c")
+
+
+def cpp_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("namespace a { template <class T> T f(const T& x) { auto p = new T["), size.cast("string"), F.lit("]; for (auto y : x) { std::cout << y"), F.when(size % 2 == 0, " << std::endl").otherwise(""), F.lit("; } return ("), F.when(size % 3 == 0, "int").otherwise("T"), F.lit(")x; } }\n"))
+    return documents(t, "p_partkey", text, "cpp")
+
+
 def mixed_code(spark: SparkSession, d: str) -> DataFrame:
     """A part as a call in one of three languages, or as JSON."""
     t, kind = _table(spark, d, "part"), F.col("p_partkey") % 4
@@ -266,6 +284,12 @@ CHECKS |= {
     "script_equals": (script_code, 'rule r { in typescript pattern { $A == $B } fix "$A === $B" }', {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'a === x' AS fix FROM part WHERE p_size % 2 = 0"),
     "script_var": (script_code, 'rule r { in ts pattern { var $N = $V; } where $V > 25 inside pattern { function $F($$$P) { $$$ } } where $P count == 2 }', captured("N", "V"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'x' AS n, CAST(p_size AS VARCHAR) AS v FROM part WHERE p_size > 25"),
     "script_non_null": (script_code, "rule r { in ts pattern { $X! } }", captured("X"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'b' AS x FROM part"),
+    "java_equals": (java_code, "rule r { in java pattern { $A == $S } where $S kind string_literal fix \"$S.equals($A)\" }", {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, '\"' || p_brand || '\".equals(a)' AS fix FROM part WHERE p_size % 2 = 0"),
+    "java_empty_catch": (java_code, 'rule r { in java query """(catch_clause body: (block "{" . "}") @match)""" }', {"width": "endByte - startByte"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 4 AS width FROM part WHERE p_size % 3 = 0"),
+    "c_unchecked": (c_code, "rule r { in c pattern { $T *$P = malloc($N); } not follows pattern { if (!$P) $_; } }", captured("T", "P", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'char' AS t, 'p' AS p, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size % 2 = 1"),
+    "c_float_equal": (c_code, 'rule r { in c query """((binary_expression operator: "==" right: (number_literal) @n) @match (#match? @n "[.eEfF]"))""" }', {"snippet": "snippet"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'p->n == 0.5' AS snippet FROM part WHERE p_size % 3 = 0"),
+    "cpp_endl": (cpp_code, "rule r { in cpp pattern { $A << std::endl } inside pattern { for ($T $X : $Y) { $$$ } } }", captured("A", "X"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'std::cout << y' AS a, 'y' AS x FROM part WHERE p_size % 2 = 0"),
+    "cpp_new": (cpp_code, "rule r { in cpp pattern { new $T[$N] } where $N > 25 }", captured("T", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'T' AS t, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size > 25"),
     "any_language": (mixed_code, "rule r { pattern { show($N) } }", captured("N") | {"folder": "substring_index(file, '/', 1)"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS VARCHAR) AS n, CASE p_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'tsx' END AS folder FROM part WHERE p_partkey % 4 < 3"),
     "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from . import css, go, json_, markup, python_, script, yaml_
+from . import c, css, go, java, json_, markup, python_, script, yaml_
 from .tree import Syn
 
 
@@ -66,6 +66,9 @@ START_TAGS = _kinds("start_tag STag EmptyElemTag")
 LANGUAGES = (
     Language("go", ("golang",), (".go",), go.parse, _kinds("int_literal float_literal imaginary_literal rune_literal interpreted_string_literal raw_string_literal true false nil"), _kinds("comment"), around=(("package p\nfunc _() {\n", "\n}"), ("package p\nvar _ = ", ""))),
     Language("python", ("py",), (".py", ".pyi"), python_.parse, _kinds("integer float string true false none"), _kinds("comment"), around=(("_ = ", ""),), interpolations=_kinds("interpolation")),
+    Language("java", (), (".java",), java.parse, _kinds("decimal_integer_literal hex_integer_literal decimal_floating_point_literal string_literal character_literal true false null_literal"), _kinds("line_comment block_comment"), around=(("class _ {\n", "\n}"), ("class _ { void _() {\n", "\n} }"), ("class _ { Object _ = ", "; }"))),
+    Language("c", (), (".c", ".h"), c.parse, _kinds("number_literal string_literal char_literal true false null"), _kinds("comment"), around=(("void _() {\n", "\n}"), ("int _ = ", ";"))),
+    Language("cpp", ("c++", "cc"), (".cpp", ".cxx", ".cc", ".hpp", ".hxx", ".hh"), c.parse_cpp, _kinds("number_literal string_literal char_literal true false nullptr"), _kinds("comment"), around=(("void _() {\n", "\n}"), ("auto _ = ", ";"))),
     Language("typescript", ("ts",), (".ts", ".mts", ".cts"), script.parse, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("tsx", ("javascript", "js", "jsx"), (".tsx", ".js", ".jsx", ".mjs", ".cjs"), script.parse_jsx, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("html", (), (".html", ".htm"), markup.parse_html, _kinds("attribute_value quoted_attribute_value text raw_text"), _kinds("comment"), folded=_kinds("tag_name attribute_name"), around=(("<qz-x ", ">"),), explicit=True, meta_in_strings=True, missing_ok=True, joint="-"),
@@ -79,7 +82,7 @@ LANGUAGES = (
 KNOWN_ONLY = tuple(
     Language(name, tuple(a.split()), tuple(e.split()))
     for name, a, e in (
-        ("java", "", ".java"), ("csharp", "cs c#", ".cs"), ("c", "", ".c .h"), ("cpp", "c++ cc", ".cpp .cxx .cc .hpp .hxx .hh"), ("rust", "rs", ".rs"),
+        ("csharp", "cs c#", ".cs"), ("rust", "rs", ".rs"),
         ("kotlin", "kt kts", ".kt .kts"), ("swift", "", ".swift"),
     )
 )

@@ -10,6 +10,9 @@ from arborql.rules import RuleError
 from arborql.sources.nodes import rows_of
 
 SAMPLES = {
+    "java": 'package a.b.c;\nimport java.util.*;\nimport static a.B.c;\n/** doc */\n@Deprecated\npublic abstract class A<T extends B & C> extends D<T> implements E, F<T[]> {\n  private static final int X = 1 << 3, Y[] = {1, 2};\n  @Override(a = "x", b = {1, 2}) public <U> Map<String, List<U>> f(final int a, String... b) throws IOException, X {\n    for (int i = 0, j = 1; i < 10; i++, j--) { continue; }\n    for (var x : xs) System.out.println(x + "é" + \'c\');\n    Runnable r = () -> {}; Function<A, B> g = x -> x.y(); BiFunction h = (p, q) -> p + q; foo(String::valueOf, int[]::new, a.b::c);\n    int k = (int) 3.5f >>> 2; k >>= 1; long l = 0xFFL;\n    String s = o instanceof String t && t.length() > 0 ? (String) o : null;\n    switch (k) { case 1: case 2: break; default: return; }\n    int z = switch (k) { case 1, 2 -> 3; case 4 -> { yield 5; } default -> throw new E("a"); };\n    try (var in = open(); out) { a[0][1] = new int[3][]; } catch (A | B e) { throw e; } finally { x.<T>y(); }\n    synchronized (this) { assert a : "b"; }\n    new Thread(new Runnable() { @Override public void run() { this.a++; } }).start();\n    List<? extends A> w = new ArrayList<>(); label: while (true) { break label; } do { } while (!a);\n    Object c = A.class, d = int[].class;\n    if (a < b && c > d) return;\n    return;\n  }\n  static { init(); }\n  A(int x) { super(x); this.x = x; }\n  enum E implements X { A(1) { void m() {} }, B; int q; }\n  record R<T>(int a, T b) implements Z { R { check(); } }\n  @interface Ann { int value() default 1; }\n  interface I { default void x() {} int y(); }\n  int i = 1; A next;\n}\n',
+    "c": '#include <stdio.h>\n#define N 3\ntypedef struct node { int a, *b[N]; struct node *next; } node_t;\nstatic const char *names[] = {"a", "b"};\nint main(int argc, char **argv) {\n  char *p = malloc(10); node *q = (node *)malloc(sizeof(node)); unsigned long n = sizeof *q;\n  if (p = next(p)) return 1;\n  while ((c = getchar()) != EOF) { strcpy(buf, src); x->y[0].z++; }\n  for (int i = 0; i < n; i++) sprintf(buf, "é%d", i); a = b * c; foo * bar;\n  switch (n) { case 1: break; default: goto end; }\n  if (f == 0.1f || x == x) gets(line); else { do { } while (0); }\nend: return (int)x ? a : b, c;\n}\nvoid (*handler)(int, void *);\n',
+    "cpp": '#include <vector>\nusing namespace std;\nnamespace a::b { template <typename T, int N = 3> class A : public B<T>, private C { public: explicit A(int x) : B<T>(x), y_{x} {} ~A(); virtual void f() const override = 0; A& operator=(const A&) = delete; template <class U> U g(U&& u) { return std::forward<U>(u); } private: std::map<std::string, std::vector<int>> m_; int y_ = 0; }; }\nint main() {\n  auto p = new int[3]; delete[] p; delete q; int *r = NULL; auto s = std::make_unique<Foo>(1, 2);\n  for (const auto& [k, v] : m) { std::cout << k << std::endl; }\n  auto f = [&, x](int a) -> int { return a + x; }; if (x = y) return 1; x = x; int z = (int)3.5; int w = static_cast<int>(y);\n  try { throw std::runtime_error("é"); } catch (const std::exception& e) { } catch (...) { }\n  switch (x) { case 1: break; } std::vector<int> v{1, 2}; Foo foo(1); while (x = next()) g(); if (auto it = m.find(1); it != m.end()) {}\n  return a < b && c > d ? 1 : 2;\n}\n',
     "go": 'package p // c\n\nimport (\n\t"fmt"\n\te "é"\n)\n\ntype S[T any] struct {\n\ta, b int `x`\n\tT\n}\n\nfunc (s *S[int]) M(f func(int) error, xs ...map[string][]T) (n int, err error) {\n\tfor i, x := range xs {\n\t\tgo func() { ch <- <-s.c }()\n\t}\n\tswitch v := x.(type) {\n\tcase nil, *T:\n\t\tx[1:2].y++\n\tdefault:\n\t\treturn S{a: 1, b: []int{2}}, &T{}\n\t}\n}\n',
     "python": '# c\n@d.e(1)\nasync def f(a, /, *b: int, c=1, **k) -> "é":\n    """doc"""\n    x: int = y = [i for i in a if i]; z += 1\n    with open(f"{a!r:>{w}} {{}}") as g, h:\n        yield lambda q, *r: q if r else {**k, 1: 2}\n    try:\n        pass\n    except (A, B) as e:\n        raise E from e\n    finally:\n        return a[1:, ::2], not b is not c\nclass C(D, m=1):\n    def g(self): return "a" \'b\' if (w := 3) else await x\n',
     "typescript": "// c\nimport a, { type b as c } from 'é';\nexport default class A<T extends B = {}> extends C<T> implements D {\n  private readonly x?: number = 1;\n  constructor(public y: string) { super(); }\n  get z(): Array<Map<string, T[]>> { return <any>this.x! as unknown }\n}\ntype F = (a: number, ...b: string[]) => a is string | `x${T}`;\ninterface I { [k: string]: F; m?(): void }\nenum E { A = 1, B }\nconst f = async <T,>(x: T, { y, ...z }: any = {}): Promise<T> => await x ?? z?.[0]?.(y) ;\nfor (const k of a) if (/[/]é/g.test(k)) continue; else break\n",
@@ -65,6 +68,9 @@ def kinds(name, source):
         ("yaml", "a: 1\nb: x", "(stream (document (block_node (block_mapping (block_mapping_pair (flow_node (plain_scalar (string_scalar))) (flow_node (plain_scalar (integer_scalar)))) (block_mapping_pair (flow_node (plain_scalar (string_scalar))) (flow_node (plain_scalar (string_scalar))))))))"),
         ("go", "package p\nvar a = f(x...)", "(source_file (package_clause (package_identifier)) (var_declaration (var_spec (identifier) (expression_list (call_expression (identifier) (argument_list (variadic_argument (identifier))))))))"),
         ("go", "a.b = c[0]", "(source_file (assignment_statement (expression_list (selector_expression (identifier) (field_identifier))) (expression_list (index_expression (identifier) (int_literal)))))"),
+        ("java", "a.b(c[0]);", "(program (expression_statement (method_invocation (identifier) (identifier) (argument_list (array_access (identifier) (decimal_integer_literal))))))"),
+        ("c", "int *a = b->c;", "(translation_unit (declaration (primitive_type) (init_declarator (pointer_declarator (identifier)) (field_expression (identifier) (field_identifier)))))"),
+        ("cpp", "A<B> a = new C(1);", "(translation_unit (declaration (template_type (type_identifier) (template_argument_list (type_descriptor (type_identifier)))) (init_declarator (identifier) (new_expression (type_identifier) (argument_list (number_literal))))))"),
         ("python", "def f(a=1):\n  return a.b", "(module (function_definition (identifier) (parameters (default_parameter (identifier) (integer))) (block (return_statement (attribute (identifier) (identifier))))))"),
         ("typescript", "let a: B[] = c as D", "(program (lexical_declaration (variable_declarator (identifier) (type_annotation (array_type (type_identifier))) (as_expression (identifier) (type_identifier)))))"),
         ("tsx", "<a b={c}>d</a>", "(program (expression_statement (jsx_element (jsx_opening_element (identifier) (jsx_attribute (property_identifier) (jsx_expression (identifier)))) (jsx_text) (jsx_closing_element (identifier)))))"),
