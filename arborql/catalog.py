@@ -142,6 +142,12 @@ def cpp_code(spark: SparkSession, d: str) -> DataFrame:
     return documents(t, "p_partkey", text, "cpp")
 
 
+def rust_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("fn f<'a>(x: &'a [u8]) -> Option<i32> {\n    let y = x.iter().map(|z| z."), F.when(size % 2 == 0, "unwrap").otherwise("clone"), F.lit("()).collect::<Vec<_>>();\n    if y.len() == "), size.cast("string"), F.lit(" { panic!(\""), F.col("p_brand"), F.lit("\") }\n    Some(1)\n}\n"))
+    return documents(t, "p_partkey", text, "rust")
+
+
 def mixed_code(spark: SparkSession, d: str) -> DataFrame:
     """A part as a call in one of three languages, or as JSON."""
     t, kind = _table(spark, d, "part"), F.col("p_partkey") % 4
@@ -290,6 +296,8 @@ CHECKS |= {
     "c_float_equal": (c_code, 'rule r { in c query """((binary_expression operator: "==" right: (number_literal) @n) @match (#match? @n "[.eEfF]"))""" }', {"snippet": "snippet"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'p->n == 0.5' AS snippet FROM part WHERE p_size % 3 = 0"),
     "cpp_endl": (cpp_code, "rule r { in cpp pattern { $A << std::endl } inside pattern { for ($T $X : $Y) { $$$ } } }", captured("A", "X"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'std::cout << y' AS a, 'y' AS x FROM part WHERE p_size % 2 = 0"),
     "cpp_new": (cpp_code, "rule r { in cpp pattern { new $T[$N] } where $N > 25 }", captured("T", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'T' AS t, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size > 25"),
+    "rust_closure": (rust_code, "rule r { in rust pattern { $X.unwrap() } inside pattern { |$A| $B } }", captured("X", "A"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'z' AS x, 'z' AS a FROM part WHERE p_size % 2 = 0"),
+    "rust_macro": (rust_code, "rule r { in rust pattern { panic!($$$A) } inside pattern { if $L == $N { $$$ } } where $N > 25 }", captured("A", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, '\"' || p_brand || '\"' AS a, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size > 25"),
     "any_language": (mixed_code, "rule r { pattern { show($N) } }", captured("N") | {"folder": "substring_index(file, '/', 1)"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS VARCHAR) AS n, CASE p_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'tsx' END AS folder FROM part WHERE p_partkey % 4 < 3"),
     "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),
