@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -28,11 +31,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
+#: So many rows are worth a file of their own.
+ROWS_PER_FILE = 20_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, and lost executors cost nothing.
+
+    ``rows``: at most so many, if that's known; few rows of many partitions become few files, of which each costs its writer
+    several calls to the file system.
+
+    Inside ``scratch`` the table goes when that ends, unless it's ``kept``. Tables that a result reads stay: they go with the
+    folder, which is its owner's to clean.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)
+    written.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end; shuffle files go with the plans that nothing refers to any more."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            at = hadoop.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A stored table that outlives the scratch that it was stored in, up to the end of the one around it."""
+    if _SCRATCH and df._stored_at in _SCRATCH[-1]:
+        _SCRATCH[-1].remove(df._stored_at)
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(df._stored_at)
+    return df
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -41,23 +87,44 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most_bytes`` each (one row at least), so that memory stays bounded."""
+    """Slices of the batches with about ``most_bytes`` each (one row at least), so that memory stays bounded.
+
+    When a task's input ends, what its worker holds for later goes back to the system: workers are used again and again, and
+    beside the executor's heap there's little room for what one task needed once.
+    """
+    seen = 0
     for batch in batches:
         rows = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        seen += batch.nbytes
+        if seen >= RELEASE_BYTES:
+            seen = 0
+            released()
+    released()
+
+
+#: So many bytes of input are read between two releases of memory.
+RELEASE_BYTES = 32 << 20
+
+
+def released() -> None:
+    """Gives unused memory of this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held on both sides.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_arrow(spark: SparkSession) -> None:
     """Bounds the memory of what goes to Python and back, unless the session bounds it more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    for key, most in ARROW.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +155,7 @@ def held(keys: DataFrame) -> DataFrame:
 
 def one_row_each(rows: DataFrame, counted: DataFrame) -> DataFrame:
     """``rows``, keyed, with one row of each key; ``counted`` (keys, n) tells the keys with several, so other rows stay in place."""
-    several = stored(counted.where("n > 1").select(*KEY), "several")
+    several = stored(counted.where("n > 1").select(*KEY), "several", counted.count() if hasattr(counted, "_stored_at") else None)
     if several.isEmpty():
         return rows
     few = held(several)

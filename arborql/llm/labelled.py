@@ -6,10 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import scratch, stored
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, per_class: int, most_chars: int = 20_000) -> tuple[list[str], np.ndarray, float | None]:
+def sample(docs: DataFrame, *args, **options) -> tuple[list[str], np.ndarray, float | None]:
+    """See ``_sample``; no table of it is left."""
+    with scratch(docs.sparkSession):
+        return _sample(docs, *args, **options)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, per_class: int, most_chars: int = 20_000) -> tuple[list[str], np.ndarray, float | None]:
     """Texts and 0/1 labels to learn from: up to ``per_class`` rows of each label, those with the least hash of their id;
     and the share of label 1 among all rows that may be drawn, None if there are none.
 

@@ -86,15 +86,16 @@ def _mix_sizes(base: DataFrame, weights: int, most: float) -> DataFrame:
     near = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     plan = plan.withColumn("rate", near).withColumn("fraction", F.col("rate") - F.floor("rate"))
     plan = plan.withColumn("small", F.greatest(F.col("total") / F.col("n") / 2, F.lit(1.0))).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
-    plan = stored(plan.withColumnRenamed("source_key", "k"), "mix-plan")
+    plan = stored(plan.withColumnRenamed("source_key", "k"), "mix-plan", base.count())
     # One row a source: broadcast up to a proven size, else joined.
-    held = F.broadcast(plan) if plan.count() <= 100_000 else plan
+    sources = plan.count()
+    held = F.broadcast(plan) if sources <= 100_000 else plan
     hash_ = F.xxhash64("id", "size")
     rows = base.join(held, F.col("source_key") == F.col("k")).drop("k", "n", "weight").withColumnRenamed("source", "label").withColumnRenamed("source_key", "source")
     rows = rows.withColumn("h", hash_).withColumn("block", F.shiftrightunsigned(hash_, 33) % F.col("blocks"))
     is_large = F.col("size") > F.col("small")
     sums = rows.groupBy("source").agg(F.sum(F.when(is_large, F.col("size")).otherwise(0)).alias("large"), F.max(F.when(is_large, F.col("size")).otherwise(0)).alias("largest"), F.sum(F.when(is_large, 0).otherwise(F.col("size"))).alias("little"))
-    wanted = stored(plan.select(F.col("k").alias("source"), (F.col("fraction") * F.col("total")).alias("wanted_all"), (F.lit(most) - F.floor("rate")).alias("room")).join(sums, "source"), "mix-wanted")
+    wanted = stored(plan.select(F.col("k").alias("source"), (F.col("fraction") * F.col("total")).alias("wanted_all"), (F.lit(most) - F.floor("rate")).alias("room")).join(sums, "source"), "mix-wanted", sources)
     hold = lambda df: F.broadcast(df) if held is not plan else df
     fill = F.col("little") * F.col("room") >= F.col("largest")
     first = _placed(rows.where(is_large)).join(hold(wanted), "source")
@@ -102,7 +103,7 @@ def _mix_sizes(base: DataFrame, weights: int, most: float) -> DataFrame:
     share = F.col("large") * F.col("fraction")
     first = stored(first.withColumn("extra", F.when(fill, F.col("upto") <= share).otherwise(middle <= share).cast("long")), "mix-large")
     met = first.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("met"))
-    rest = stored(wanted.join(met, "source", "left").withColumn("rest", F.col("wanted_all") - F.coalesce("met", F.lit(0))).drop("met"), "mix-rest")
+    rest = stored(wanted.join(met, "source", "left").withColumn("rest", F.col("wanted_all") - F.coalesce("met", F.lit(0))).drop("met"), "mix-rest", sources)
     second = _placed(rows.where(~is_large)).join(hold(rest), "source")
     times = F.floor((F.col("rest") - middle) / F.greatest("little", F.lit(1))) + 1
     second = second.withColumn("extra", F.least(F.floor("room"), F.greatest(times, F.lit(0))).cast("long")).drop("rest")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, small_batches, stored, utf8
+from ._shared import scratch, shared_dir, small_batches, stored, utf8
 from .trie import Trie
 
 ORDER = 3
@@ -453,7 +453,8 @@ def train(df: DataFrame, text_col: str, learn: Column | None = None, order: int
     mass = tuple(mass[: order - 1])
     texts = (df if learn is None else df.where(learn)).select(F.lit(0).alias("id"), df[text_col].cast("string").alias("text"))
     folder = f"{shared_dir(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    vocabulary = _vocabulary(texts, folder)
+    with scratch(df.sparkSession):
+        vocabulary = _vocabulary(texts, folder)
     if vocabulary.distinct >= 1 << 31:
         raise ValueError("the vocabulary has more words than the tries' keys hold")
     shards = max(1, -(-vocabulary.tokens // TOKENS_PER_SHARD))

@@ -43,11 +43,18 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 
+#: Words of a passage that op4_repeats' further column ``text`` is without, as the pipeline's stage: over 50.
+PASSAGE_WORDS = 51
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(_shared.documents(spark, sf_dir).select("doc_id", "text"), "text")
+    """The contract's columns tell of strings of 400 bytes; ``text`` is the text without those and without passages of over 50
+    words that also stand elsewhere (many such passages have fewer bytes)."""
+    docs = _shared.documents(spark, sf_dir).select("doc_id", "text")
+    found = repeats.remove_repeats(docs, "text", words=PASSAGE_WORDS, give=("kept", "removed", "clean"))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     kept = F.octet_length("kept").cast("long")
-    return found.select("doc_id", (kept + lost).alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", (kept + lost).alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("clean").alias("text"))
 
 
 def _classified(docs: DataFrame, model, score, threshold: float) -> DataFrame:

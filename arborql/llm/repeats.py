@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, stored, utf8
+from ._shared import kept, scratch, small_batches, stored, utf8
 
 LENGTH = 400
 SPREAD = 256
@@ -74,13 +74,16 @@ def rolling(data: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def parse(text: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start, last start, trigger and trigger hash of each phrase of a text."""
+def parse(text: bytes, length: int = LENGTH, spread: int = SPREAD, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start, trigger and trigger hash of each phrase of a text; with a ``unit`` of CODE, strings start at
+    codes only. All places and lengths are in bytes."""
+    data = np.frombuffer(text, np.uint8 if unit == 1 else "<u8")
+    length, spread = length // unit, spread // unit
     gram = length - spread + 1
-    starts = len(text) - length + 1
+    starts = len(data) - length + 1
     if starts < 1:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    hashes = rolling(np.frombuffer(text, np.uint8), gram)
+    hashes = rolling(data, gram)
     mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
     low = ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
@@ -93,20 +96,21 @@ def parse(text: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.n
     first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
     last = np.concatenate([first[1:], [starts]]) - 1
     at = trigger[first]
-    return first, last, at, hashes[at]
+    return first * unit, last * unit, at * unit, hashes[at]
 
 
-def _phrases(df: DataFrame, length: int, spread: int) -> DataFrame:
-    """The parse: a row for each different phrase of a text, with its digest, its first place and trigger, how often it
-    occurs there, and if that's more than once the starts of all of its places, those that touch in one range. So a run
-    that repeats itself is one row."""
+def _phrases(df: DataFrame, length: int, spread: int, coded: bool) -> DataFrame:
+    """The parse: a row for each different phrase of a text (``coded``: of its words' codes), with its digest, its first place
+    and trigger, how often it occurs there, and if that's more than once the starts of all of its places, those that touch in
+    one range. So a run that repeats itself is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
+        digest, unit = xxhash.xxh3_128_intdigest, CODE if coded else 1
         for batch in small_batches(batches):
             rows = []
             for da, db, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
-                first, last, at, h = parse(text, length, spread)
+                text = word_codes(text) if coded else text
+                first, last, at, h = parse(text, length, spread, unit)
                 view = memoryview(text)
                 own: dict[int, list] = {}
                 for a, b, t, g in zip(first.tolist(), last.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
@@ -116,7 +120,7 @@ def _phrases(df: DataFrame, length: int, spread: int) -> DataFrame:
                         own[d] = [g, *struct.unpack("<qq", d.to_bytes(16, "little")), da, db, a, b, t, 1, [(a, b)]]
                     else:
                         row[8] += 1
-                        if row[9][-1][1] == a - 1:
+                        if row[9][-1][1] == a - unit:
                             row[9][-1] = (row[9][-1][0], b)
                         else:
                             row[9].append((a, b))
@@ -189,15 +193,16 @@ def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists.hint("shuffle_merge"), ["da", "db"])
 
 
-def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+def _edges(docs: DataFrame, dictionary: DataFrame, length: int, coded: bool) -> DataFrame:
     """(da, db, ranges): starts of single phrases whose strings are in other phrases of their group."""
-    lists = stored(dictionary.groupBy("da", "db").agg(F.collect_list(F.struct("h", "k1", "k2", "first", "last", "at", "n", "large")).alias("phrases")), "edge-lists")
+    lists = stored(dictionary.groupBy("da", "db").agg(F.collect_list(F.struct("h", "k1", "k2", "first", "last", "at", "n", "large")).alias("phrases")), "edge-lists", 8 * dictionary.count())
     joined = _with_texts(docs.select("da", "db", "text"), lists).select("da", "db", "text", "phrases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = []
             for da, db, text, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                text = word_codes(text) if coded else text
                 for p in phrases:
                     rows.append((p["h"], p["k1"], p["k2"], da, db, p["first"], p["at"], p["n"], p["large"], text[p["first"] : p["last"] + length]))
             for at in range(0, len(rows), 4096):
@@ -251,19 +256,22 @@ def _edges(docs: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
     return small.unionByName(strings.join(several, ["s1", "s2"]).select("da", "db", F.array(F.struct("first", F.col("first").alias("last"))).alias("ranges")))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES) -> DataFrame:
-    """(da, db, ranges): starts in ``docs`` (da, db, text) whose string of ``length`` bytes also starts elsewhere."""
-    occurrences = stored(_phrases(docs.select("da", "db", "text"), length, spread), "parse")
+def repeated_starts(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, coded: bool = False) -> DataFrame:
+    """(da, db, ranges): starts in ``docs`` (da, db, text) whose string of ``length`` bytes also starts elsewhere; ``coded``: in
+    the texts' word codes."""
+    occurrences = stored(_phrases(docs.select("da", "db", "text"), length, spread, coded), "parse")
     # Stored, so that the joins stand alone in their stages and hot hashes can be split there.
-    several = stored(occurrences.groupBy("h").agg(F.sum("n").alias("hn")).where("hn > 1").select("h"), "several")
-    open_ = stored(occurrences.join(several, "h", "left_semi"), "open")
+    most = occurrences.count()
+    several = stored(occurrences.groupBy("h").agg(F.sum("n").alias("hn")).where("hn > 1").select("h"), "several", most)
+    open_ = stored(occurrences.join(several, "h", "left_semi"), "open", most)
+    most = open_.count()
     one = F.min(F.struct("da", "db", "first", "last", "at")).alias("one")
-    counted = stored(open_.groupBy("h", "k1", "k2").agg(F.sum("n").alias("n"), one), "dictionary")
+    counted = stored(open_.groupBy("h", "k1", "k2").agg(F.sum("n").alias("n"), one), "dictionary", most)
     within = counted.where("n > 1").select("h", "k1", "k2")
     inside = open_.join(within, ["h", "k1", "k2"], "left_semi").select("da", "db", F.coalesce("several", F.array(F.struct("first", "last"))).alias("ranges"))
-    mixed = stored(counted.groupBy("h").agg(F.count("*").alias("phrases")).where("phrases > 1").withColumn("large", F.col("phrases") > most_phrases), "groups")
-    dictionary = stored(counted.join(mixed, "h").select("h", "k1", "k2", "n", "large", "one.*"), "mixed")
-    return inside.unionByName(_edges(docs, dictionary, length))
+    mixed = stored(counted.groupBy("h").agg(F.count("*").alias("phrases")).where("phrases > 1").withColumn("large", F.col("phrases") > most_phrases), "groups", most)
+    dictionary = stored(counted.join(mixed, "h").select("h", "k1", "k2", "n", "large", "one.*"), "mixed", most)
+    return inside.unionByName(_edges(docs, dictionary, length, coded))
 
 
 def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -277,16 +285,10 @@ def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def word_codes(docs: DataFrame) -> DataFrame:
-    """(da, db, text): ``docs`` with CODE bytes for each word, the XXH64 of its bytes, so that runs of words are strings of one length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_digest
-        for batch in small_batches(batches):
-            codes = [b"".join([digest(w, 42) for w in text.split()]) for text in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["da", "db", "text"])
-
-    return docs.select("da", "db", "text").mapInArrow(run, "da long, db long, text binary")
+def word_codes(text: bytes) -> bytes:
+    """CODE bytes for each word of a text, the XXH64 of its bytes, so that runs of words are strings of one length."""
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(w, 42) for w in text.split()])
 
 
 def passages(text: bytes, ranges: list[dict], words: int) -> list[dict]:
@@ -301,45 +303,58 @@ def passages(text: bytes, ranges: list[dict], words: int) -> list[dict]:
     return found
 
 
-def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, as_text: bool = False, words: int = 0) -> DataFrame:
-    """``df`` with kept (binary) and removed (array of byte ranges): the text's UTF-8 bytes without those that a string of
-    ``length`` bytes covers which also starts anywhere else, in the same text or another; all judged on the input.
+def remove_repeats(df: DataFrame, text_col: str, length: int = LENGTH, spread: int = SPREAD, most_phrases: int = MOST_PHRASES, words: int = 0, give: tuple[str, ...] = ("kept", "removed")) -> DataFrame:
+    """``df`` with the columns ``give``: kept (binary) and removed (array of byte ranges), the text's UTF-8 bytes without those
+    that a string of ``length`` bytes covers which also starts anywhere else, in the same text or another; all judged on the
+    input. clean (string): the text without those and without runs of ``words`` words (over 32) that also stand elsewhere, in
+    whatever white space; characters that a cut halves go too.
 
-    Null texts are empty. A repeated row repeats all of its strings. Columns named kept and removed are replaced, others stay;
-    no rows give no rows. With ``as_text`` kept is a string without the characters that a range has cut. ``spread`` bounds how far triggers lie apart and is less than ``length``.
-    With ``words`` (over 32) runs of so many words that also stand elsewhere, in whatever white space, are removed too.
+    Null texts are empty. A repeated row repeats all of its strings. Columns named as in ``give`` are replaced, others stay;
+    no rows give no rows. ``spread`` bounds how far triggers lie apart and is less than ``length``.
     """
     if not 0 < spread < length:
         raise ValueError("spread must be positive and less than length")
-    fields = [c for c in df.columns if c not in ("kept", "removed") or c == text_col]
+    fields = [c for c in df.columns if c not in give or c == text_col]
     text = df[text_col].cast("string")
     row = F.to_json(F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(fields) if c != text_col])) if len(fields) > 1 else F.lit("")
     docs = df.select(F.xxhash64(text, row).alias("da"), F.xxhash64(row, text, F.lit(1)).alias("db"), text.alias("text"), F.struct(*[df[c] for c in fields]).alias("row"))
-    starts = repeated_starts(docs, length, spread, most_phrases).withColumn("runs", F.array().cast(RANGES))
-    if words:
-        runs = repeated_starts(word_codes(docs), CODE * words, SPREAD, most_phrases).withColumnRenamed("ranges", "runs")
-        starts = starts.unionByName(runs.withColumn("ranges", F.array().cast(RANGES)))
-    lists = stored(starts.groupBy("da", "db").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "runs"))), "ranges")
+    spark = df.sparkSession
+
+    def found(coded: bool) -> DataFrame:
+        with scratch(spark):
+            starts = repeated_starts(docs, CODE * words if coded else length, SPREAD if coded else spread, most_phrases, coded)
+            return kept(stored(starts, "starts"))
+
+    none = F.array().cast(RANGES)
+    with scratch(spark):
+        starts = found(False).withColumn("runs", none)
+        if words:
+            starts = starts.unionByName(found(True).withColumnRenamed("ranges", "runs").withColumn("ranges", none))
+        lists = kept(stored(starts.groupBy("da", "db").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "runs"))), "ranges"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = {"kept": ("binary", pa.binary()), "removed": ("array<struct<start:long,end:long>>", span), "clean": ("string", pa.string())}
+
+    def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+        ends = [0, *(b for _, b in runs)]
+        return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(text)], strict=True))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            kept, removed = [], []
+            out: dict[str, list] = {c: [] for c in kinds}
             for text, ranges, word_runs in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 whole = [{"first": r["first"], "last": r["last"] + length} for r in ranges or []]
-                runs = covered(whole + passages(text, word_runs or [], words), 0)
-                ends = [0, *(b for _, b in runs)]
-                kept.append(b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(text)], strict=True)))
-                removed.append([{"start": a, "end": b} for a, b in runs])
-            if as_text:
-                kept = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, span)], ["row", "kept", "removed"])
-
-    kind = "string" if as_text else "binary"
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, kept {kind}, removed array<struct<start:long,end:long>>"
+                runs = covered(whole, 0)
+                out["kept"].append(without(text, runs))
+                out["removed"].append([{"start": a, "end": b} for a, b in runs])
+                if "clean" in give:
+                    out["clean"].append(without(text, covered(whole + passages(text, word_runs or [], words), 0)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(out[c], kinds[c][1]) for c in give)], ["row", *give])
+
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c][0]}" for c in give)
     keys = lists.select("da", "db")
     if keys.count() > BROADCAST_KEYS:
-        return docs.join(lists, ["da", "db"], "left").select("text", "ranges", "runs", "row").mapInArrow(cut, schema).select("row.*", "kept", "removed")
+        return docs.join(lists, ["da", "db"], "left").select("text", "ranges", "runs", "row").mapInArrow(cut, schema).select("row.*", *give)
     hit = docs.join(F.broadcast(keys), ["da", "db"], "left_semi").join(lists.hint("shuffle_merge"), ["da", "db"]).select("text", "ranges", "runs", "row").mapInArrow(cut, schema)
-    whole = docs.join(F.broadcast(keys), ["da", "db"], "left_anti").select("row", F.coalesce(F.col("text"), F.lit("")).cast(kind).alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("removed"))
-    return hit.unionByName(whole).select("row.*", "kept", "removed")
+    same = {"kept": F.coalesce(F.col("text"), F.lit("")).cast("binary"), "removed": F.array().cast(kinds["removed"][0]), "clean": F.coalesce(F.col("text"), F.lit(""))}
+    whole = docs.join(F.broadcast(keys), ["da", "db"], "left_anti").select("row", *(same[c].alias(c) for c in give))
+    return hit.unionByName(whole).select("row.*", *give)

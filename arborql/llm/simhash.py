@@ -109,7 +109,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 3, r
     row and is passed over for component_id unless no row of the component has an id. Other columns are ignored.
     """
     rows = stored(fingerprints(df, id_col, text_col, words), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes", rows.count())
     roots = components(link(nodes.select("fp"), radius))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -65,8 +65,9 @@ def test_query(spark, tmp_path):
     rows = [(0, "a" + long, "en"), (1, long + "ü", "en"), (2, None, None), (3, "unique", "en"), (3, "unique", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in queries.op4_repeats(spark, str(tmp_path)).collect())
+    found = queries.op4_repeats(spark, str(tmp_path)).collect()
+    got = sorted(tuple(r)[:5] for r in found)
     want = sorted((i, len((t or "").encode()), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for (i, t, _), (kept, runs) in zip(rows, slow([(t or "").encode() for _, t, _ in rows], 400), strict=True))
-    assert got == want
+    assert got == want and sorted((r.doc_id, r.text) for r in found) == [(0, "a"), (1, "ü"), (2, ""), (3, "unique"), (3, "unique")]
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert queries.op4_repeats(spark, f"{tmp_path}/none").count() == 0
