@@ -148,6 +148,12 @@ def rust_code(spark: SparkSession, d: str) -> DataFrame:
     return documents(t, "p_partkey", text, "rust")
 
 
+def csharp_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("namespace N { class P { public async "), F.when(size % 2 == 0, "void").otherwise("Task"), F.lit(" F(int? a) { var r = t.Result?.X ?? 1; Console.WriteLine($\""), F.col("p_brand"), F.lit(" {r}\"); return a "), F.when(size % 3 == 0, "==").otherwise("!="), F.lit(" null; } } }\n"))
+    return documents(t, "p_partkey", text, "csharp")
+
+
 def mixed_code(spark: SparkSession, d: str) -> DataFrame:
     """A part as a call in one of three languages, or as JSON."""
     t, kind = _table(spark, d, "part"), F.col("p_partkey") % 4
@@ -298,6 +304,8 @@ CHECKS |= {
     "cpp_new": (cpp_code, "rule r { in cpp pattern { new $T[$N] } where $N > 25 }", captured("T", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'T' AS t, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size > 25"),
     "rust_closure": (rust_code, "rule r { in rust pattern { $X.unwrap() } inside pattern { |$A| $B } }", captured("X", "A"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'z' AS x, 'z' AS a FROM part WHERE p_size % 2 = 0"),
     "rust_macro": (rust_code, "rule r { in rust pattern { panic!($$$A) } inside pattern { if $L == $N { $$$ } } where $N > 25 }", captured("A", "N"), "SELECT CAST(p_partkey AS BIGINT) AS id, '\"' || p_brand || '\"' AS a, CAST(p_size AS VARCHAR) AS n FROM part WHERE p_size > 25"),
+    "csharp_null": (csharp_code, "rule r { in csharp pattern { $X == null } fix \"$X is null\" }", {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'a is null' AS fix FROM part WHERE p_size % 3 = 0"),
+    "csharp_async_void": (csharp_code, "rule r { in cs pattern { public async void $M($$$P) { $$$B } } }", captured("M", "P"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'F' AS m, 'int? a' AS p FROM part WHERE p_size % 2 = 0"),
     "any_language": (mixed_code, "rule r { pattern { show($N) } }", captured("N") | {"folder": "substring_index(file, '/', 1)"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS VARCHAR) AS n, CASE p_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'tsx' END AS folder FROM part WHERE p_partkey % 4 < 3"),
     "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),

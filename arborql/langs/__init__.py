@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from . import c, css, go, java, json_, markup, python_, rust, script, yaml_
+from . import c, csharp, css, go, java, json_, markup, python_, rust, script, yaml_
 from .tree import Syn
 
 
@@ -70,6 +70,7 @@ LANGUAGES = (
     Language("c", (), (".c", ".h"), c.parse, _kinds("number_literal string_literal char_literal true false null"), _kinds("comment"), around=(("void _() {\n", "\n}"), ("int _ = ", ";"))),
     Language("cpp", ("c++", "cc"), (".cpp", ".cxx", ".cc", ".hpp", ".hxx", ".hh"), c.parse_cpp, _kinds("number_literal string_literal char_literal true false nullptr"), _kinds("comment"), around=(("void _() {\n", "\n}"), ("auto _ = ", ";"))),
     Language("rust", ("rs",), (".rs",), rust.parse, _kinds("integer_literal float_literal string_literal raw_string_literal char_literal boolean_literal"), _kinds("line_comment block_comment"), around=(("fn _() {\n", "\n}"), ("fn _() { let _ = ", "; }"))),
+    Language("csharp", ("cs", "c#"), (".cs",), csharp.parse, _kinds("integer_literal real_literal string_literal character_literal boolean_literal null_literal verbatim_string_literal"), _kinds("comment"), around=(("class _ {\n", "\n}"), ("class _ { void _() {\n", "\n} }"), ("class _ { object _ = ", "; }"))),
     Language("typescript", ("ts",), (".ts", ".mts", ".cts"), script.parse, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("tsx", ("javascript", "js", "jsx"), (".tsx", ".js", ".jsx", ".mjs", ".cjs"), script.parse_jsx, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("html", (), (".html", ".htm"), markup.parse_html, _kinds("attribute_value quoted_attribute_value text raw_text"), _kinds("comment"), folded=_kinds("tag_name attribute_name"), around=(("<qz-x ", ">"),), explicit=True, meta_in_strings=True, missing_ok=True, joint="-"),
@@ -83,7 +84,7 @@ LANGUAGES = (
 KNOWN_ONLY = tuple(
     Language(name, tuple(a.split()), tuple(e.split()))
     for name, a, e in (
-        ("csharp", "cs c#", ".cs"), 
+        
         ("kotlin", "kt kts", ".kt .kts"), ("swift", "", ".swift"),
     )
 )

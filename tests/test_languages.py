@@ -10,6 +10,7 @@ from arborql.rules import RuleError
 from arborql.sources.nodes import rows_of
 
 SAMPLES = {
+    "csharp": 'using System; using static A.B; using X = Y.Z<int>;\nnamespace N.M { \n[Serializable, Attr(1, Name = "x")] public abstract partial class A<T> : B<T>, IC where T : class, new() {\n  private readonly int _x = 1, y; public string Name { get; private set; } = "a"; public int P => _x; event EventHandler E;\n  public A(int a, params string[] b) : base(a) { this._x = a; } ~A() { }\n  public async void F<U>(ref int x, out string? s, List<Dictionary<string, U>> d = null) {\n    await Task.Delay(1).ConfigureAwait(false); var r = t.Result; t.Wait(); Console.WriteLine($"é {x.ToString()} {y:0.0}"); \n    try { G(); } catch (Exception ex) when (ex.M > 1) { throw ex; } catch { } finally { }\n    foreach (var (k, v) in d) { } foreach (int i in xs) continue; for (int i = 0, j = 1; i < 10; i++, j--) { }\n    if (x == null || null != y) return; int? n = a ? b : c ? d : e; x ??= 1; var q = x?.Y?[0] ?? throw new E("a");\n    var f = (int a, b) => a + b; Func<int, int> g = z => { return z; }; x = x == x ? (int)3.5m : (string)o; using (var w = new S()) { } using var u = new T { A = 1, B = { 2 } };\n    switch (x) { case 1: case > 2 when z: break; case string s2: goto case 1; default: return; }\n    var sw = x switch { 1 => "a", >= 2 and < 5 => "b", null => "c", { A: 1 } p => "d", _ => @"e ""x""" }; lock (this) { } int[] arr = new int[3]; var l = new[] { 1, 2 }; a[1, 2] = b >> 3; a <<= 1;\n    if (o is string str && o is not null) { } var tup = (1, b: 2); M(out var oo, name: 1); int L(int k) => k * 2; List<int> lst = new(); x = y!;\n  }\n  public static A operator +(A a, A b) => a; public int this[int i] { get => 1; set { } } enum C : byte { X = 1, Y } record R(int A, string B); interface I { void M(); } delegate int D(int x);\n}}\n',
     "rust": '#![allow(dead_code)]\nuse std::{fmt, io::{self, Read as R}, a::*};\n/// doc\n#[derive(Debug, Clone)]\npub(crate) struct S<\'a, T: Clone + \'a = u8, const N: usize = 3> where T: X { pub a: &\'a mut [T; N], b: Option<Box<dyn Fn(i32) -> Result<(), E>>> }\nstruct U(pub i32, f64); enum E { A, B(i32), C { x: u8 }, D = 4 }\nimpl<\'a, T> Iterator for S<\'a, T> { type Item = T; const X: i32 = -1; fn next(&mut self) -> Option<Self::Item> { self.a?.b()[0].await } }\ntrait Tr: Sized { fn f(self: Box<Self>, x: impl Into<String>) -> i32 { 1 } fn g(); }\npub async fn main() -> Result<(), Box<dyn Error>> {\n    let mut v: Vec<_> = (0..10).map(|x| x * 2).filter(|&x| x > 1 && x < 3).collect::<Vec<i32>>();\n    if let Some(ref x) = y && z { return Ok(()) } else if a == true { b() } else { c() };\n    match x { 1..=5 | 7 => {} Some(E::B(n)) if n > 3 => n, E::C { x, .. } => { f(); } _ => panic!("é {}", b), }\n    \'outer: loop { while i < 10 { i += 1; continue \'outer; } break; }\n    for (i, x) in v.iter().enumerate() { println!("{} {}", i, x); v[i] = x as f32 >> 2; }\n    let s = S { a: 1, b, ..Default::default() }; let t = (1, \'c\', "s", b"x", r#"raw"#, 1.5e3, 0xff_u8); x = x;\n    unsafe { std::mem::transmute::<u8, i8>(x) }; let c = move || x.unwrap(); let d = a.unwrap_or(String::new()); let Some(q) = w else { return };\n    v.iter().map(|x| x.unwrap()).sum::<i32>()\n}\nmacro_rules! m { ($x:expr) => { $x }; }\nmod tests { use super::*; #[test] fn t() { assert_eq!(1, 2); } }\n',
     "java": 'package a.b.c;\nimport java.util.*;\nimport static a.B.c;\n/** doc */\n@Deprecated\npublic abstract class A<T extends B & C> extends D<T> implements E, F<T[]> {\n  private static final int X = 1 << 3, Y[] = {1, 2};\n  @Override(a = "x", b = {1, 2}) public <U> Map<String, List<U>> f(final int a, String... b) throws IOException, X {\n    for (int i = 0, j = 1; i < 10; i++, j--) { continue; }\n    for (var x : xs) System.out.println(x + "é" + \'c\');\n    Runnable r = () -> {}; Function<A, B> g = x -> x.y(); BiFunction h = (p, q) -> p + q; foo(String::valueOf, int[]::new, a.b::c);\n    int k = (int) 3.5f >>> 2; k >>= 1; long l = 0xFFL;\n    String s = o instanceof String t && t.length() > 0 ? (String) o : null;\n    switch (k) { case 1: case 2: break; default: return; }\n    int z = switch (k) { case 1, 2 -> 3; case 4 -> { yield 5; } default -> throw new E("a"); };\n    try (var in = open(); out) { a[0][1] = new int[3][]; } catch (A | B e) { throw e; } finally { x.<T>y(); }\n    synchronized (this) { assert a : "b"; }\n    new Thread(new Runnable() { @Override public void run() { this.a++; } }).start();\n    List<? extends A> w = new ArrayList<>(); label: while (true) { break label; } do { } while (!a);\n    Object c = A.class, d = int[].class;\n    if (a < b && c > d) return;\n    return;\n  }\n  static { init(); }\n  A(int x) { super(x); this.x = x; }\n  enum E implements X { A(1) { void m() {} }, B; int q; }\n  record R<T>(int a, T b) implements Z { R { check(); } }\n  @interface Ann { int value() default 1; }\n  interface I { default void x() {} int y(); }\n  int i = 1; A next;\n}\n',
     "c": '#include <stdio.h>\n#define N 3\ntypedef struct node { int a, *b[N]; struct node *next; } node_t;\nstatic const char *names[] = {"a", "b"};\nint main(int argc, char **argv) {\n  char *p = malloc(10); node *q = (node *)malloc(sizeof(node)); unsigned long n = sizeof *q;\n  if (p = next(p)) return 1;\n  while ((c = getchar()) != EOF) { strcpy(buf, src); x->y[0].z++; }\n  for (int i = 0; i < n; i++) sprintf(buf, "é%d", i); a = b * c; foo * bar;\n  switch (n) { case 1: break; default: goto end; }\n  if (f == 0.1f || x == x) gets(line); else { do { } while (0); }\nend: return (int)x ? a : b, c;\n}\nvoid (*handler)(int, void *);\n',
@@ -73,6 +74,7 @@ def kinds(name, source):
         ("c", "int *a = b->c;", "(translation_unit (declaration (primitive_type) (init_declarator (pointer_declarator (identifier)) (field_expression (identifier) (field_identifier)))))"),
         ("cpp", "A<B> a = new C(1);", "(translation_unit (declaration (template_type (type_identifier) (template_argument_list (type_descriptor (type_identifier)))) (init_declarator (identifier) (new_expression (type_identifier) (argument_list (number_literal))))))"),
         ("rust", "fn f() { a.b?; }", "(source_file (function_item (identifier) (parameters) (block (expression_statement (try_expression (field_expression (identifier) (field_identifier)))))))"),
+        ("csharp", "a.B(c[0]);", "(compilation_unit (global_statement (expression_statement (invocation_expression (member_access_expression (identifier) (identifier)) (argument_list (argument (element_access_expression (identifier) (bracketed_argument_list (argument (integer_literal))))))))))"),
         ("python", "def f(a=1):\n  return a.b", "(module (function_definition (identifier) (parameters (default_parameter (identifier) (integer))) (block (return_statement (attribute (identifier) (identifier))))))"),
         ("typescript", "let a: B[] = c as D", "(program (lexical_declaration (variable_declarator (identifier) (type_annotation (array_type (type_identifier))) (as_expression (identifier) (type_identifier)))))"),
         ("tsx", "<a b={c}>d</a>", "(program (expression_statement (jsx_element (jsx_opening_element (identifier) (jsx_attribute (property_identifier) (jsx_expression (identifier)))) (jsx_text) (jsx_closing_element (identifier)))))"),
