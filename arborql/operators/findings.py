@@ -91,8 +91,9 @@ def matched(files: DataFrame, compiled: list[Compiled], keep_suppressed: bool =
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
 
         for found in batches:
+            columns = found.columns
             for at in range(found.num_rows):
-                file_id, path, name, source, todo = (c[at].as_py() for c in found.columns)
+                file_id, path, name, source, todo = (c[at].as_py() for c in columns)
                 lang = BY_NAME.get((name or "").lower())
                 if lang is None or lang.parse is None or not todo:
                     continue
