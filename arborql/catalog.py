@@ -160,6 +160,12 @@ def kotlin_code(spark: SparkSession, d: str) -> DataFrame:
     return documents(t, "p_partkey", text, "kotlin")
 
 
+def swift_code(spark: SparkSession, d: str) -> DataFrame:
+    t, size = _table(spark, d, "part"), F.col("p_size")
+    text = F.concat(F.lit("final class P: Q {\n  func f(_ x: [String], by y: Int?) throws -> Int {\n    print(\""), F.col("p_brand"), F.lit(" \\(x.count)\")\n    let r = y as"), F.when(size % 2 == 0, "!").otherwise("?"), F.lit(" Int\n    guard x.count == "), (size % 4).cast("string"), F.lit(", let z = y else { return x.map { $0.count }[0] }\n    return z\n  }\n}\n"))
+    return documents(t, "p_partkey", text, "swift")
+
+
 def mixed_code(spark: SparkSession, d: str) -> DataFrame:
     """A part as a call in one of three languages, or as JSON."""
     t, kind = _table(spark, d, "part"), F.col("p_partkey") % 4
@@ -314,6 +320,8 @@ CHECKS |= {
     "csharp_async_void": (csharp_code, "rule r { in cs pattern { public async void $M($$$P) { $$$B } } }", captured("M", "P"), "SELECT CAST(p_partkey AS BIGINT) AS id, 'F' AS m, 'int? a' AS p FROM part WHERE p_size % 2 = 0"),
     "kotlin_not_null": (kotlin_code, "rule r { in kotlin pattern { $X!! } }", captured("X") | {"line": "startLine"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'a' AS x, 4 AS line FROM part WHERE p_size % 2 = 0"),
     "kotlin_size": (kotlin_code, "rule r { in kt pattern { $L.size == 0 } fix \"$L.isEmpty()\" }", {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'x.isEmpty()' AS fix FROM part WHERE p_size % 4 = 0"),
+    "swift_cast": (swift_code, "rule r { in swift pattern { $X as! $T } }", captured("X", "T") | {"line": "startLine"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'y' AS x, 'Int' AS t, 4 AS line FROM part WHERE p_size % 2 = 0"),
+    "swift_count": (swift_code, "rule r { in swift pattern { $L.count == 0 } fix \"$L.isEmpty\" }", {"fix": "fix"}, "SELECT CAST(p_partkey AS BIGINT) AS id, 'x.isEmpty' AS fix FROM part WHERE p_size % 4 = 0"),
     "any_language": (mixed_code, "rule r { pattern { show($N) } }", captured("N") | {"folder": "substring_index(file, '/', 1)"}, "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS VARCHAR) AS n, CASE p_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'tsx' END AS folder FROM part WHERE p_partkey % 4 < 3"),
     "any_test": (nations, 'rule r { in json pattern { "id": $I } inside any { pattern { {"id": $_, "segment": "BUILDING", "balance": $_} } pattern { {"id": $_, "segment": "MACHINERY", "balance": $_} } } }', captured("I"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "query_test": (nations, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_} } has query """((pair key: (string (string_content) @k) value: (string (string_content) @v)) @match (#eq? @k "segment") (#eq? @v "BUILDING"))""" }', captured("I", "v"), "SELECT CAST(c_nationkey AS BIGINT) AS id, CAST(c_custkey AS VARCHAR) AS i, 'BUILDING' AS v FROM customer WHERE c_mktsegment = 'BUILDING'"),

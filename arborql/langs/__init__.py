@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from . import c, csharp, css, go, java, json_, kotlin, markup, python_, rust, script, yaml_
+from . import c, csharp, css, go, java, json_, kotlin, markup, python_, rust, script, swift, yaml_
 from .tree import Syn
 
 
@@ -72,6 +72,7 @@ LANGUAGES = (
     Language("rust", ("rs",), (".rs",), rust.parse, _kinds("integer_literal float_literal string_literal raw_string_literal char_literal boolean_literal"), _kinds("line_comment block_comment"), around=(("fn _() {\n", "\n}"), ("fn _() { let _ = ", "; }"))),
     Language("csharp", ("cs", "c#"), (".cs",), csharp.parse, _kinds("integer_literal real_literal string_literal character_literal boolean_literal null_literal verbatim_string_literal"), _kinds("comment"), around=(("class _ {\n", "\n}"), ("class _ { void _() {\n", "\n} }"), ("class _ { object _ = ", "; }"))),
     Language("kotlin", ("kt", "kts"), (".kt", ".kts"), kotlin.parse, _kinds("integer_literal real_literal hex_literal bin_literal string_literal character_literal boolean_literal"), _kinds("line_comment multiline_comment"), interpolations=_kinds("interpolated_expression interpolated_identifier"), around=(("fun _() {\n", "\n}"), ("val _ = ", ""))),
+    Language("swift", (), (".swift",), swift.parse, _kinds("integer_literal real_literal hex_literal oct_literal bin_literal line_string_literal multi_line_string_literal boolean_literal"), _kinds("comment multiline_comment"), interpolations=_kinds("interpolated_expression"), around=(("func _() {\n", "\n}"), ("let _ = ", ""))),
     Language("typescript", ("ts",), (".ts", ".mts", ".cts"), script.parse, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("tsx", ("javascript", "js", "jsx"), (".tsx", ".js", ".jsx", ".mjs", ".cjs"), script.parse_jsx, _kinds("number string template_string regex true false null undefined"), _kinds("comment"), interpolations=_kinds("template_substitution"), around=(("function _() {\n", "\n}"), ("let _ = ", ""))),
     Language("html", (), (".html", ".htm"), markup.parse_html, _kinds("attribute_value quoted_attribute_value text raw_text"), _kinds("comment"), folded=_kinds("tag_name attribute_name"), around=(("<qz-x ", ">"),), explicit=True, meta_in_strings=True, missing_ok=True, joint="-"),
@@ -82,7 +83,7 @@ LANGUAGES = (
     Language("xml", (), (".xml", ".svg", ".xsd", ".xsl", ".xslt"), markup.parse_xml, _kinds("AttValue CharData CData"), _kinds("Comment"), around=(("<qz-x ", "/>"), ("<qz-x>", "</qz-x>")), explicit=True, meta_in_strings=True, tag_variadics=True),
 )
 #: What is known by name and extension but has no parser here.
-KNOWN_ONLY = (Language("swift", (), (".swift",)),)
+KNOWN_ONLY: tuple[Language, ...] = ()
 BY_NAME = {n: lang for lang in (*LANGUAGES, *KNOWN_ONLY) for n in (lang.name, *lang.aliases)}
 BY_EXTENSION = {e: lang.name for lang in (*LANGUAGES, *KNOWN_ONLY) for e in lang.extensions}
 

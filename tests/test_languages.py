@@ -10,6 +10,7 @@ from arborql.rules import RuleError
 from arborql.sources.nodes import rows_of
 
 SAMPLES = {
+    "swift": 'import Foundation.NSObject\n/* c */ @objc public final class A<T: B>: C, D where T: E {\n  private(set) weak var x: Int? = 1, y = [String: [Int]]()\n  static let z = { (a: Int, b) -> Int in return a + b }\n  var c: Int { get { return 1 } set(v) { x = v } }; lazy var d: String = "é \\(x!) \\(f("q"))"\n  init?(a b: Int, _ c: String..., d: @escaping (Int) throws -> Void = { _ in }) throws { super.init(); self.x = b as? Int }\n  override func f<U>(_ x: inout U, with y: [U]) async throws -> (Int, String)? { return nil }\n  deinit { }\n  subscript(i: Int) -> Int { return i }\n}\nenum E: String, CaseIterable { case a = "x", b(Int, l: String); indirect case c; func g() {} }\nprotocol P: AnyObject { associatedtype T; func m(); var q: Int { get } }\nextension A.B: P { typealias X = Int }\nfunc main() {\n  let v = try! load(); let w = x as! String; if count == 0 && !list.isEmpty { print(a, b) } else if let q = r?.s, let t = u { fatalError("x") }\n  guard let self = self, case .b(let n, _) = e else { return }\n  for i in 0..<10 where i % 2 == 0 { continue }; while true { break }; repeat { x += 1 } while x < 3\n  switch v { case .a, .b(1, l: "z"): f(); case let (x, y) where x > y: break; case 1...5: fallthrough; case is String: x = x; default: throw E.a }\n  DispatchQueue.main.sync { [weak self] in self?.go() }; list.map { $0 * 2 }.filter({ $0 > 1 }).forEach(print)\n  do { try f(x: 1) } catch let e as Err { NSLog("%@", e) } catch { }\n  let t = a ? b : c ?? d; let arr: [Int] = [1, 2], dic = ["a": 1, "b": 2], tup = (1, name: "x"); defer { close() }; #if DEBUG\n  print("d")\n  #endif\n  let k = \\A.x, s = #selector(f), r = """\n    multi \\(x)\n    """, u = await g(), n = -x + ~y, m = Array<Int>(repeating: 0, count: 1); arr[0].b!.c = 0xFF\n}\n',
     "kotlin": '@file:Suppress("x")\npackage a.b\nimport a.b.C as D\nimport x.*\n/* c */ data class P<out T : Any>(val a: Int = 1, private var b: List<T?>) : Base(a), I by d { companion object { const val X = 1 }\n  init { check(a > 0) } constructor(x: String) : this(x.toInt()) { }\n  override fun <R> f(x: (Int, T) -> R?, vararg y: String = "é"): R? = x(1, b[0]!!) as? R\n  var z: Int = 0\n    get() = field\n    private set(v) { field = v }\n  lateinit var q: Map<String, *>\n}\nenum class E(val i: Int) { A(1), B(2) { override fun g() {} }; abstract fun g() }\nsealed interface S { object O : S }\nsuspend fun main(args: Array<String>) {\n  val (a, b) = 1 to 2; var s = "a $a ${b.c("d")} e"; println(s); GlobalScope.launch { delay(10L) }; Thread.sleep(100)\n  if (a == true && b != null || !c) return else { x = x }\n  for (i in 0..10 step 2) { continue }; while (true) break\n  val r = when (val k = f()) { 1, 2 -> "a"; in 3..4 -> { "b" } is String -> k.length; else -> throw E("x") }\n  try { a?.b?.let { it -> it.c!! } ?: return@main } catch (e: Exception) { e.printStackTrace() } finally { }\n  list.filter { it > 1 }.map(::foo).forEach { (k, v) -> println("$k") }; val f = fun(x: Int): Int { return x }\n  val o = object : R { override fun run() {} }; TODO("x"); a[1] = b[2] + 3 * -4 % 5; if (list.size == 0) foo<Int>(x = 1, *y)\n  x += 1; val t = """raw ${x} "q" """; do { y++ } while (y < 3); label@ for (p in q) { break@label }; val u = 0xFF shl 2; val fn = A::class.java\n}\ntypealias F = (Int) -> Unit\nval <T> List<T>.last2: T get() = this[size - 1]\nfun String.ext() = this\n',
     "csharp": 'using System; using static A.B; using X = Y.Z<int>;\nnamespace N.M { \n[Serializable, Attr(1, Name = "x")] public abstract partial class A<T> : B<T>, IC where T : class, new() {\n  private readonly int _x = 1, y; public string Name { get; private set; } = "a"; public int P => _x; event EventHandler E;\n  public A(int a, params string[] b) : base(a) { this._x = a; } ~A() { }\n  public async void F<U>(ref int x, out string? s, List<Dictionary<string, U>> d = null) {\n    await Task.Delay(1).ConfigureAwait(false); var r = t.Result; t.Wait(); Console.WriteLine($"é {x.ToString()} {y:0.0}"); \n    try { G(); } catch (Exception ex) when (ex.M > 1) { throw ex; } catch { } finally { }\n    foreach (var (k, v) in d) { } foreach (int i in xs) continue; for (int i = 0, j = 1; i < 10; i++, j--) { }\n    if (x == null || null != y) return; int? n = a ? b : c ? d : e; x ??= 1; var q = x?.Y?[0] ?? throw new E("a");\n    var f = (int a, b) => a + b; Func<int, int> g = z => { return z; }; x = x == x ? (int)3.5m : (string)o; using (var w = new S()) { } using var u = new T { A = 1, B = { 2 } };\n    switch (x) { case 1: case > 2 when z: break; case string s2: goto case 1; default: return; }\n    var sw = x switch { 1 => "a", >= 2 and < 5 => "b", null => "c", { A: 1 } p => "d", _ => @"e ""x""" }; lock (this) { } int[] arr = new int[3]; var l = new[] { 1, 2 }; a[1, 2] = b >> 3; a <<= 1;\n    if (o is string str && o is not null) { } var tup = (1, b: 2); M(out var oo, name: 1); int L(int k) => k * 2; List<int> lst = new(); x = y!;\n  }\n  public static A operator +(A a, A b) => a; public int this[int i] { get => 1; set { } } enum C : byte { X = 1, Y } record R(int A, string B); interface I { void M(); } delegate int D(int x);\n}}\n',
     "rust": '#![allow(dead_code)]\nuse std::{fmt, io::{self, Read as R}, a::*};\n/// doc\n#[derive(Debug, Clone)]\npub(crate) struct S<\'a, T: Clone + \'a = u8, const N: usize = 3> where T: X { pub a: &\'a mut [T; N], b: Option<Box<dyn Fn(i32) -> Result<(), E>>> }\nstruct U(pub i32, f64); enum E { A, B(i32), C { x: u8 }, D = 4 }\nimpl<\'a, T> Iterator for S<\'a, T> { type Item = T; const X: i32 = -1; fn next(&mut self) -> Option<Self::Item> { self.a?.b()[0].await } }\ntrait Tr: Sized { fn f(self: Box<Self>, x: impl Into<String>) -> i32 { 1 } fn g(); }\npub async fn main() -> Result<(), Box<dyn Error>> {\n    let mut v: Vec<_> = (0..10).map(|x| x * 2).filter(|&x| x > 1 && x < 3).collect::<Vec<i32>>();\n    if let Some(ref x) = y && z { return Ok(()) } else if a == true { b() } else { c() };\n    match x { 1..=5 | 7 => {} Some(E::B(n)) if n > 3 => n, E::C { x, .. } => { f(); } _ => panic!("é {}", b), }\n    \'outer: loop { while i < 10 { i += 1; continue \'outer; } break; }\n    for (i, x) in v.iter().enumerate() { println!("{} {}", i, x); v[i] = x as f32 >> 2; }\n    let s = S { a: 1, b, ..Default::default() }; let t = (1, \'c\', "s", b"x", r#"raw"#, 1.5e3, 0xff_u8); x = x;\n    unsafe { std::mem::transmute::<u8, i8>(x) }; let c = move || x.unwrap(); let d = a.unwrap_or(String::new()); let Some(q) = w else { return };\n    v.iter().map(|x| x.unwrap()).sum::<i32>()\n}\nmacro_rules! m { ($x:expr) => { $x }; }\nmod tests { use super::*; #[test] fn t() { assert_eq!(1, 2); } }\n',
@@ -77,6 +78,7 @@ def kinds(name, source):
         ("rust", "fn f() { a.b?; }", "(source_file (function_item (identifier) (parameters) (block (expression_statement (try_expression (field_expression (identifier) (field_identifier)))))))"),
         ("csharp", "a.B(c[0]);", "(compilation_unit (global_statement (expression_statement (invocation_expression (member_access_expression (identifier) (identifier)) (argument_list (argument (element_access_expression (identifier) (bracketed_argument_list (argument (integer_literal))))))))))"),
         ("kotlin", "val a = b.c(1)", "(source_file (property_declaration (binding_pattern_kind) (variable_declaration (simple_identifier)) (call_expression (navigation_expression (simple_identifier) (navigation_suffix (simple_identifier))) (call_suffix (value_arguments (value_argument (integer_literal)))))))"),
+        ("swift", "let a = b!.c(1)", "(source_file (property_declaration (value_binding_pattern) (pattern (simple_identifier)) (call_expression (navigation_expression (postfix_expression (simple_identifier) (bang)) (navigation_suffix (simple_identifier))) (call_suffix (value_arguments (value_argument (integer_literal)))))))"),
         ("python", "def f(a=1):\n  return a.b", "(module (function_definition (identifier) (parameters (default_parameter (identifier) (integer))) (block (return_statement (attribute (identifier) (identifier))))))"),
         ("typescript", "let a: B[] = c as D", "(program (lexical_declaration (variable_declarator (identifier) (type_annotation (array_type (type_identifier))) (as_expression (identifier) (type_identifier)))))"),
         ("tsx", "<a b={c}>d</a>", "(program (expression_statement (jsx_element (jsx_opening_element (identifier) (jsx_attribute (property_identifier) (jsx_expression (identifier)))) (jsx_text) (jsx_closing_element (identifier)))))"),
@@ -107,7 +109,7 @@ def test_patterns(name, body, want):
     assert str(compile_pattern(body, language(name))) == want
 
 
-@pytest.mark.parametrize(("name", "body", "why"), [("html", "<p>hello $X</p>", "do not parse as standalone nodes"), ("css", ".b { $$$ }", "doesn't parse"), ("xml", '<a b="$$$X"/>', "inside quotes"), ("json", "$X", "alone"), ("json", '"a" $OP "b"', "parse"), ("go", "f($OP)", "parse"), ("swift", "f()", "no parser")])
+@pytest.mark.parametrize(("name", "body", "why"), [("html", "<p>hello $X</p>", "do not parse as standalone nodes"), ("css", ".b { $$$ }", "doesn't parse"), ("xml", '<a b="$$$X"/>', "inside quotes"), ("json", "$X", "alone"), ("json", '"a" $OP "b"', "parse"), ("go", "f($OP)", "parse"), ("swift", "let = 1", "parse")])
 def test_patterns_that_do_not_compile(name, body, why):
     with pytest.raises(RuleError, match=why):
         compile_pattern(body, language(name))
