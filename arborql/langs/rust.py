@@ -257,6 +257,8 @@ class _Rust(Parser):
 
     def declared(self) -> Syn:
         found = self.item()
+        if found is None and self.now.kind == "name" and self.ahead().text == "}":
+            found = self.identifier()  # what stands for items in a pattern
         if found is None:
             found = self.make("macro_invocation", *self.macro().kids, self.accept(";"))
         return found
