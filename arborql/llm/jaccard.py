@@ -1,16 +1,15 @@
-"""Near duplicates by the exact Jaccard likeness of word shingles; candidates are found by bands of MinHash values.
+"""Near duplicates by SimHash, every link confirmed by the exact Jaccard likeness of word shingles.
 
-Sets: a text's distinct shingles as XXH64 numbers. Texts with equal sets are one node. Bands: the least values of ROWS random
-linear maps of a set make a key, BANDS times. A pair of likeness j shares none of the keys with probability
-(1 - j ^ ROWS) ^ BANDS, that is 3 in a million at 0.8 and less above; a 64-bit SimHash with a radius that is wide enough for
-0.8 (about 17 bits) would have to compare most pairs.
+Sets: a text's distinct shingles as XXH64 numbers, hashed as ``simhash`` hashes them. Texts with equal sets are one node.
+Candidates: nodes that meet in a table of SimHash bits and differ in few bits (``simhash.meetings``). A pair with a likeness
+of 0.8 is missed with a computed probability of about 1 in 100,000 by the tables and of a few in a million by the radius,
+a more alike one with less; sets of fewer than ten shingles, whose bits are uneven, somewhat more.
 
 Links: a candidate is a link if its two sets, read again from the texts, are at least that alike. So that large groups of
 near copies form few pairs, every bucket's members meet its busiest node first (a text that others are copies of shares more
-keys with them than they do with each other), some rounds long. Those that are left are compared with each other by a byte
-of each of the least values, bucket by bucket, in blocks of BLOCK members and pairs of blocks, so no bucket has to fit into one
-task; only pairs with at least AGREE equal bytes (a pair at 0.8 misses that with a probability of 7 in a million) become rows
-and are confirmed.
+keys with them than they do with each other), STARS rounds long. Those that are left form families, connected by common keys.
+A family is compared, signatures first, then sets, in blocks of BLOCK members and pairs of blocks, so none has to fit into
+one task; of the links found there only as many become rows as it takes to connect what they connect.
 """
 
 from __future__ import annotations
@@ -23,17 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._shared import held, kept, scratch, small_batches, stored
 from .components import components
 
-ROWS, BANDS = 5, 32
-#: Shingles that are mapped at a time.
-CHUNK = 1 << 11
-STARS = 2
-BLOCK, AGREE = 1000, 106
-_RANDOM = np.random.default_rng(42)
-_FACTORS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64)
+STARS = 1
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
+#: So many candidates are worth one pass over all sets of a block.
+MANY = 16
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -45,18 +41,6 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), 42) for x in parts], np.uint64))
 
 
-def keys(found: np.ndarray) -> tuple[list[int], bytes]:
-    """The keys of a set's bands, none for an empty set, and a byte of each least value."""
-    if not len(found):
-        return [], b""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), CHUNK):
-        mapped = found[at : at + CHUNK, None] * _FACTORS + _TERMS
-        least = np.minimum(least, mapped.min(axis=0))
-    sketch = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
-    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))], sketch.tobytes()
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -86,43 +70,55 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * (100 + percent) >= total * percent).select("a", "b")
 
 
-def _near_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of ``open_`` (key, node, size, root) that share a key, have different roots and look alike by their sketches.
-
-    A pair is given where its first common key is: if one of the two isn't there any more, it was that bucket's busiest node
-    and has met the other.
-    """
-    crowd = stored(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "crowd", open_.count())
-    placed = open_.join(crowd, "key").join(nodes.select("node", "sketch", "keys"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "root", "sketch", "keys")
+def _linked_in_families(open_: DataFrame, nodes: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes of ``open_`` (key, node, size, root; ``rows`` rows) with different roots, enough of them to
+    connect all such nodes that share a key and are linked."""
+    least = open_.groupBy("key").agg(F.min("node").alias("a"))
+    families = components(open_.join(least, "key").select("a", F.col("node").alias("b")).where("a <> b"), rows)
+    left = stored(open_.select("node", "size", "root").distinct().join(families.select("node", F.col("root").alias("family")), "node"), "families", rows)
+    crowd = stored(left.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "crowd", left.count())
+    placed = left.join(crowd, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = placed.join(nodes.select("node", "sketch"), "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = full.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "root", "sketch", "shingles")
+    most = simhash.radius(percent)
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         own, node, size, root = (table[c].to_numpy() for c in ("own", "node", "size", "root"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
-        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
-        here = int(np.flatnonzero(keys[0] == table["key"][0].as_py())[0])
-        found: list[np.ndarray] = []
+        words = simhash.words_of(table["sketch"].combine_chunks())
+        known, shingle = np.unique(table["shingles"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        here, part = np.zeros(len(known), bool), np.unique(root, return_inverse=True)[1]
+        found: list[tuple[int, int]] = []
         for at in range(len(node)):
             to = np.arange(at + 1, len(node)) if i == j else np.flatnonzero(own == j) if own[at] == i else np.zeros(0, np.int64)
+            to = to[part[to] != part[at]]
             small, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
-            to = to[(root[to] != root[at]) & (small * 100 >= large * percent)]
-            to = to[(sketch[to] == sketch[at]).sum(axis=1) >= AGREE]
-            to = to[(keys[to, :here] != keys[at, :here]).all(axis=1)]
-            found.append(np.column_stack([np.minimum(node[at], node[to]), np.maximum(node[at], node[to])]))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+            to = to[small.astype(np.int64) * 100 >= large.astype(np.int64) * percent]
+            to = to[simhash.within(words[to], words[at], most)]
+            if not len(to):
+                continue
+            mine = shingle[starts[at] : starts[at] + size[at]]
+            here[mine] = True
+            if len(to) < MANY:
+                common = np.array([np.count_nonzero(here[shingle[starts[x] : starts[x] + size[x]]]) for x in to])
+            else:
+                common = np.add.reduceat(here[shingle], starts, dtype=np.int64)[to]
+            here[mine] = False
+            to = to[common * (100 + percent) >= (size[to].astype(np.int64) + size[at]) * percent]
+            parts, first = np.unique(part[to], return_index=True)
+            found += [(int(node[at]), int(node[x])) for x in to[first]]
+            part[np.isin(part, parts)] = part[at]
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return members.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def link(nodes: DataFrame, df: DataFrame, text_col: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """(node, root): the components of the nodes (node, text_key, size, keys) that have a link; root is the least node."""
-    table = nodes.select("node", "size", F.explode("keys").alias("key"))
-    crowd = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """(node, root): the components of the nodes (node, text_key, size, sketch) that have a link; root is the least node."""
     count = nodes.count()
-    members = stored(table.join(crowd, "key"), "bands", BANDS * count)
+    bits = simhash.key_bits(count)
+    members = stored(simhash.meetings(nodes, bits, percent), "meetings")
     keys_ = members.count()
     wanted = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key"), "wanted", min(count, keys_))
     sets = _sets(df, text_col, wanted, words)
@@ -136,12 +132,12 @@ def link(nodes: DataFrame, df: DataFrame, text_col: str, words: int = 5, percent
             busiest = stored(open_.groupBy("key").agg(F.max(F.struct("weight", "node", "size", "root")).alias("top")), "busiest", keys_)
             other = busiest.select("key", F.col("top.node").alias("node2"), F.col("top.size").alias("size2"), F.col("top.root").alias("root2"))
             met = open_.join(other, "key").where("root <> root2")
-            near = pair(met)
+            pairs = stored(pair(met), "pairs", keys_)
+            known = pairs.count() + (0 if links is None else links.count())
+            found = _links(pairs, sets, percent)
         else:
-            near = _near_in_blocks(open_, nodes, percent)
-        pairs = stored(near, "pairs", keys_ if turn < STARS else None)
-        known = pairs.count() + (0 if links is None else links.count())
-        found = _links(pairs, sets, percent)
+            found = stored(_linked_in_families(open_, nodes, sets, keys_, percent), "linked")
+            known = found.count() + (0 if links is None else links.count())
         links = stored(found if links is None else links.union(found), "confirmed", 16 * known)
         roots = components(links, known)
         if turn < STARS:
@@ -158,7 +154,7 @@ def link(nodes: DataFrame, df: DataFrame, text_col: str, words: int = 5, percent
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 80) -> DataFrame:
     """(id, node, component_id): one row per row of ``df``; component_id is the smallest id that the row reaches.
 
-    Rows link if their sets of shingles have a Jaccard likeness of at least ``percent`` hundredths. Texts without words link
+    Candidates come from SimHash signatures of the same shingles. Rows link if their sets of shingles have a Jaccard likeness of at least ``percent`` hundredths. Texts without words link
     to each other only. A null id keeps its row and is passed over for component_id unless no row of the component has an id.
     """
     chosen = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col].cast("string")).alias("text_key"), df[text_col].cast("string").alias("text"))
@@ -166,12 +162,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = [shingles(x, words) for x in batch.column(2).to_pylist()]
-            made = [keys(x) for x in found]
-            columns = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([b for _, b in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_key", "node", "size", "keys", "sketch"])
+            columns = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([simhash.signature(x).tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_key", "node", "size", "sketch"])
 
-    rows = stored(chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, text_key long, node long, size int, keys array<long>, sketch binary"), "shingled")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "size", "keys", "sketch")).alias("one")).select("node", "least", "one.*"), "nodes", rows.count())
+    rows = stored(chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, text_key long, node long, size int, sketch binary"), "shingled")
+    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "size", "sketch")).alias("one")).select("node", "least", "one.*"), "nodes", rows.count())
     with scratch(df.sparkSession):
         roots = link(nodes, df, text_col, words, percent)
         named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

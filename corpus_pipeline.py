@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, linked by a Jaccard likeness of at least 0.8 of their five-word shingles:
-    that with the smallest id (a null id is the largest)."""
+    """One document of each group of near duplicates, that with the smallest id (a null id is the largest). SimHash signatures of
+    five-word shingles tell which documents to compare; a Jaccard likeness of at least 0.8 of the shingles links them."""
     _shared.small_arrow(spark)
     keyed = _shared.keyed(docs.select(*COLUMNS))
     named = keyed.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *_shared.KEY))
@@ -70,7 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("near-dedup (Jaccard 0.8)", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("mixing sources to target weights", mixture),
     ("packing", packed),
