@@ -279,7 +279,7 @@ CHECKS: dict[str, tuple] = {
     "not_matcher": (customers, 'rule r { in json pattern { {"id": $I, "segment": $_, "balance": $_, "a": $_, "b": $_} } not pattern { {"id": $_, "segment": "BUILDING", "balance": $_, "a": $_, "b": $_} } }', captured("I"), _customer("c_mktsegment <> 'BUILDING'", "CAST(c_custkey AS VARCHAR) AS i")),
     "branch_where": (customers, 'rule r { in json any { all { pattern { "segment": "$S" } where $S matches "^B" } all { pattern { "balance": $B } where $B > 9000 } } message "$S $B" }', {"message": "message"}, "SELECT CAST(c_custkey AS BIGINT) AS id, c_mktsegment || ' $B' AS message FROM customer WHERE c_mktsegment LIKE 'B%' UNION ALL SELECT CAST(c_custkey AS BIGINT), '$S ' || json_extract_string(json_object('b', c_acctbal), '$.b') FROM customer WHERE c_acctbal > 9000"),
     "let_matcher": (customers, 'let M = pattern { "segment": "BUILDING" }\nrule r { in json @M }', {}, _customer("c_mktsegment = 'BUILDING'")),
-    "query_match": (customers, 'rule r { in json query """((pair key: (string (string_content) @k) value: (number) @v) @match (#eq? @k "balance") (#match? @v "^-"))""" }', captured("v"), _customer("c_acctbal < 0", "json_extract_string(json_object('b', c_acctbal), '$.b') AS v")),
+    "query_match": (customers, 'rule r { in json query """((pair key: (string (string_content) @k) value: (number) @v) @match (#eq? @k "balance") (#match? @v "^-[0.]*[1-9]"))""" }', captured("v"), _customer("c_acctbal < 0", "json_extract_string(json_object('b', c_acctbal), '$.b') AS v")),
     "report_capture": (customers, f'rule r {{ in json pattern {{ {SEGMENT} }} where $S == "BUILDING" report $S }}', {"snippet": "snippet", "width": "endByte - startByte"}, _customer("c_mktsegment = 'BUILDING'", "'BUILDING' AS snippet, 8 AS width")),
     "html_links": (pages, 'rule r { in html pattern { <a href="$U"> } }', captured("U"), "SELECT page_id AS id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS u FROM pages"),
     "html_title": (pages, "rule r { in html pattern { <article>$$$K</article> } has pattern { <h1> } message \"has a title\" }", {"message": "message"}, "SELECT page_id AS id, 'has a title' AS message FROM pages WHERE html LIKE '%<article><h1>%</article>%'"),
