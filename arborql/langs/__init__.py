@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from . import c, csharp, css, go, java, json_, kotlin, markup, python_, rust, script, swift, yaml_
-from .tree import Syn
+from .tree import Syn, Tape
 
 
 @dataclass(frozen=True)
 class Language:
     """``literals`` are compared by text, ``folded`` kinds without case. ``meta_in_strings``: $X counts between quotes;
     ``quote_bare``: outside it is quoted; ``tag_variadics``: $$$ in a tag becomes an attribute; ``upper_only``: $x is the
-    language's own. ``interpolations``: a literal with one of these is compared part by part. ``around``: what a fragment may be wrapped in to parse. ``joint`` stands in names of stand-ins."""
+    language's own. ``interpolations``: a literal with one of these is compared part by part. ``around``: what a fragment may be wrapped in to parse. ``joint`` stands in names of stand-ins.
+    ``tape``: parses without an object for each node."""
 
     name: str
     aliases: tuple[str, ...]
@@ -33,6 +34,10 @@ class Language:
     upper_only: bool = False
     missing_ok: bool = False
     joint: str = "_"
+    tape: Callable[[str], Tape] | None = None
+
+    def read(self, source: str) -> Syn | Tape:
+        return (self.tape or self.parse)(source)
 
     @cached_property
     def through(self) -> frozenset[str]:
@@ -78,7 +83,7 @@ LANGUAGES = (
     Language("html", (), (".html", ".htm"), markup.parse_html, _kinds("attribute_value quoted_attribute_value text raw_text"), _kinds("comment"), folded=_kinds("tag_name attribute_name"), around=(("<qz-x ", ">"),), explicit=True, meta_in_strings=True, missing_ok=True, joint="-"),
     Language("css", (), (".css",), css.parse, _kinds("string_value integer_value float_value color_value"), _kinds("comment"), around=(("a {\n", "\n}"),), explicit=True, meta_in_strings=True),
     Language("scss", (), (".scss",), css.parse_scss, _kinds("string_value integer_value float_value color_value"), _kinds("comment js_comment"), around=(("a {\n", "\n}"),), explicit=True, meta_in_strings=True, upper_only=True),
-    Language("json", ("jsonc",), (".json", ".jsonc"), json_.parse, _kinds("number true false null"), _kinds("comment"), transparent=_kinds("string"), around=(("{", "}"),), explicit=True, meta_in_strings=True, quote_bare=True),
+    Language("json", ("jsonc",), (".json", ".jsonc"), json_.parse, _kinds("number true false null"), _kinds("comment"), transparent=_kinds("string"), around=(("{", "}"),), explicit=True, meta_in_strings=True, quote_bare=True, tape=json_.tape),
     Language("yaml", ("yml",), (".yaml", ".yml"), yaml_.parse, _kinds("integer_scalar float_scalar boolean_scalar null_scalar double_quote_scalar single_quote_scalar block_scalar timestamp_scalar"), _kinds("comment"), explicit=True),
     Language("xml", (), (".xml", ".svg", ".xsd", ".xsl", ".xslt"), markup.parse_xml, _kinds("AttValue CharData CData"), _kinds("Comment"), around=(("<qz-x ", "/>"), ("<qz-x>", "</qz-x>")), explicit=True, meta_in_strings=True, tag_variadics=True),
 )

@@ -42,7 +42,7 @@ def suppressions(tree: Tree) -> dict[int, list[list[str]]]:
     """By line, what comments suppress there: lists of rule ids, an empty one for every rule. ``lint:ignore`` is for the comment's own line."""
     found: dict[int, list[list[str]]] = {}
     for kind in tree.lang.comments:
-        for i in tree.by_kind.get(kind, ()):
+        for i in tree.of_kind(kind):
             m = DIRECTIVE.match(CLOSING.sub("", OPENING.sub("", tree.text(i), 1), 1).strip(" "))
             if m:
                 ids = [words[0] for x in m[2].split(",") if (words := x.split())]
@@ -98,7 +98,7 @@ def matched(files: DataFrame, compiled: list[Compiled], keep_suppressed: bool =
                 if lang is None or lang.parse is None or not todo:
                     continue
                 source = source or ""
-                tree = Tree(lang.parse(source), source, lang)
+                tree = Tree(lang.read(source), source, lang)
                 for row in file_findings(tree, [(n, compiled[n]) for n in todo], keep_suppressed):
                     rows.append((file_id, path, *row))
                     held += len(row[5])
