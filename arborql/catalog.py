@@ -421,7 +421,7 @@ def rule_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_kinds(spark: SparkSession, d: str) -> DataFrame:
-    table = nodes(customers(spark, d))
+    table = nodes(customers(spark, d), ["kind", "named", "depth"])
     return table.where("named").groupBy("kind").agg(F.count("*").alias("n"), F.max("depth").cast("int").alias("deepest"))
 
 

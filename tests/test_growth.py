@@ -13,6 +13,7 @@ from arborql.langs.index import SMALL, Tree
 from arborql.operators.findings import file_findings
 from arborql.plans.compile import compile_rule
 from arborql.rules import read_rules
+from arborql.sources import nodes
 
 
 def customers(folder, balances, nations=25):
@@ -72,3 +73,13 @@ def test_large_documents_against_sql(spark, tmp_path, name):
     assert len(Tree(language("json").read(nation(800)), nation(800), language("json")).nodes) > SMALL
     got, want = against_sql(spark, catalog.queries()[name], catalog.oracle_sql()[name], folder)
     assert got == want and got
+
+
+def test_node_columns_are_made_as_asked_for(spark, tmp_path):
+    corpus = catalog.customers(spark, customers(tmp_path, [1.0, -2.5, -0.0]))
+    every = nodes(corpus)
+    for columns in (["kind", "depth"], ["file_id", "path", "text"], ["lang"], ["named", "file_id", "pre", "stop", "rel_ord"]):
+        few = nodes(corpus, columns)
+        assert few.columns == columns and sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, every.select(*columns).collect()), key=str)
+    with pytest.raises(ValueError, match="no such columns"):
+        nodes(corpus, ["kinds"])
