@@ -35,7 +35,9 @@ def in_scope(rule: Rule):
 
 def may_match(c: Compiled, prefilter: bool = True) -> Column:
     may = (F.col("lang") == c.lang.name) & in_scope(c.rule)
-    return may & F.contains("src", F.lit(c.anchor)) if prefilter and c.anchor else may
+    for text in [c.anchor, *c.needs] if prefilter else []:
+        may = may & F.contains("src", F.lit(text)) if text else may
+    return may
 
 
 def suppressions(tree: Tree) -> dict[int, list[list[str]]]:

@@ -13,6 +13,10 @@ from .pattern import Pattern, compile_pattern
 from .query import Query, compile_query
 
 
+#: Texts that a file is searched for before it's parsed.
+NEEDED = 8
+
+
 @dataclass(eq=False)
 class Step:
     """A matcher. ``names``: what it may capture; ``wins``: its captures replace what is bound, as those of queries do."""
@@ -90,6 +94,19 @@ class Compiled:
         """A word that every matching file contains; empty if none is known."""
         return max((self._anchor(self.match), *(self._anchor(r.step) for r in self.near if not r.negated)), key=len)
 
+    @cached_property
+    def needs(self) -> list[str]:
+        """Texts that every matching file contains, the longest ones if there are many; those in the anchor are left out."""
+        found = self._texts(self.match).union(*(self._texts(r.step) for r in self.near if not r.negated))
+        return sorted((t for t in found if t not in self.anchor), key=lambda t: (-len(t), t))[:NEEDED]
+
+    def _texts(self, step: Step) -> frozenset[str]:
+        if step.pattern is not None:
+            return step.pattern.texts
+        if step.kind == "any" and step.parts:
+            return frozenset.intersection(*map(self._texts, step.parts))
+        return frozenset().union(*map(self._texts, step.parts)) if step.kind == "all" else frozenset()
+
     def _anchor(self, step: Step) -> str:
         if step.pattern is not None:
             return step.pattern.anchor

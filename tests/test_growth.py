@@ -10,10 +10,10 @@ from oracle import against_sql
 from arborql import catalog
 from arborql.langs import language
 from arborql.langs.index import SMALL, Tree
-from arborql.operators.findings import file_findings
+from arborql.operators.findings import check, file_findings, selected, to_do
 from arborql.plans.compile import compile_rule
 from arborql.rules import read_rules
-from arborql.sources import nodes
+from arborql.sources import documents, nodes
 
 
 def customers(folder, balances, nations=25):
@@ -83,3 +83,22 @@ def test_node_columns_are_made_as_asked_for(spark, tmp_path):
         assert few.columns == columns and sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, every.select(*columns).collect()), key=str)
     with pytest.raises(ValueError, match="no such columns"):
         nodes(corpus, ["kinds"])
+
+
+@pytest.mark.parametrize(
+    ("lang", "rule", "works"),
+    [
+        ("yaml", catalog.CHECKS["seq_pattern"][1], [0]),
+        ("yaml", catalog.CHECKS["suppress_lines"][1], [0, 1]),
+        ("yaml", "rule r { in yaml any { pattern { status: F } pattern { status: O } } }", [0, 1, 2, 3, 4]),
+        ("yaml", "rule r { in yaml pattern { status: $S } not pattern { status: F } not inside pattern { priority: 3-LOW } }", [0, 1, 2, 3, 4]),
+    ],
+)
+def test_only_files_with_all_the_texts_of_a_pattern_are_parsed(spark, lang, rule, works):
+    """A file with its longest word alone has no work for a rule; what is found stays the same."""
+    rows = [(0, "status: F\npriority: 1-URGENT\n"), (1, "status: P\npriority: 1-URGENT\n"), (2, "status: F\npriority: 2-HIGH\n"), (3, "priority: 3-LOW\nstatus: O\n"), (4, "# F\nstatus: O\npriority: 2-HIGH\n")]
+    files, rules = documents(spark.createDataFrame(rows, "id long, src string"), "id", "src", lang), read_rules(rule)
+    todo = files.withColumn("todo", to_do(selected(rules))).where("size(todo) > 0")
+    assert sorted(r["file_id"] for r in todo.collect()) == works
+    rows = [sorted(map(str, check(files, rules, prefilter=p).collect())) for p in (True, False)]
+    assert rows[0] == rows[1] and rows[0]
